@@ -174,7 +174,7 @@ def _bits(key):
 def bitmap(df: DataFrame, key: str) -> DataFrame:
     """At most BITMAP_BITS / 64 rows (word, bits) that hold a one for each key's hash, built by partial sums."""
     word, bit = _bits(F.col(key))
-    return df.select(word.alias("w"), F.shiftleft(F.lit(1).cast("long"), bit.cast("int")).alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
+    return df.select(word.alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), bit.cast("int")).alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
 
 
 def only_marked(df: DataFrame, key: str, marks: DataFrame) -> DataFrame:
@@ -194,7 +194,9 @@ def connected_components(edges: DataFrame, name: str) -> DataFrame:
     partial sums and in joins which Spark may split.
     """
     e = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
-    e, seen = staged(e, name), None
+    mark = lambda e: e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    e = staged(e, name)
+    seen = mark(e)
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -202,7 +204,7 @@ def connected_components(edges: DataFrame, name: str) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
         e = staged(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), name)
-        now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        now = mark(e)
         if now == seen:
             break
         seen = now

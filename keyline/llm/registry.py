@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from keyline.llm import mixing, packing, quality
+from keyline.llm import mixing, near_dedup, packing, pii, quality
 
 QUERIES = {
     "op2_best_fit_packing": packing.op2_best_fit_packing,
+    "op3_minhash": near_dedup.op3_minhash,
     "op4_mixing": mixing.op4_mixing,
+    "op6_pseudonyms": pii.op6_pseudonyms,
     "op7_quality_rules": quality.op7_quality_rules,
 }
 
