@@ -177,11 +177,47 @@ def bitmap(df: DataFrame, key: str) -> DataFrame:
     return df.select(word.alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), bit.cast("int")).alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
 
 
-def only_marked(df: DataFrame, key: str, marks: DataFrame) -> DataFrame:
-    """Rows of ``df`` whose key may be among those of ``marks``; no such row is lost. The map's size is bounded."""
+def marked(df: DataFrame, key: str, marks: DataFrame) -> DataFrame:
+    """``df`` and a boolean _kl_marked: false only if the key is surely not among those of ``marks``. The map is bounded."""
     word, bit = _bits(F.col(key))
-    hit = df.withColumns({"_kl_w": word, "_kl_bit": bit.cast("int")}).join(F.broadcast(marks.select(F.col("w").alias("_kl_w"), F.col("b").alias("_kl_b"))), "_kl_w")
-    return hit.where(F.expr("shiftrightunsigned(_kl_b, _kl_bit) & 1L") == 1).drop("_kl_w", "_kl_bit", "_kl_b")
+    met = df.withColumns({"_kl_w": word, "_kl_bit": bit.cast("int")}).join(F.broadcast(marks.select(F.col("w").alias("_kl_w"), F.col("b").alias("_kl_b"))), "_kl_w", "left")
+    return met.withColumn("_kl_marked", F.expr("shiftrightunsigned(coalesce(_kl_b, 0L), _kl_bit) & 1L") == 1).drop("_kl_w", "_kl_bit", "_kl_b")
+
+
+def only_marked(df: DataFrame, key: str, marks: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose key may be among those of ``marks``; no such row is lost."""
+    return marked(df, key, marks).where("_kl_marked").drop("_kl_marked")
+
+
+# ---- packed arrays: what goes through an exchange in one value -----------------------------------
+
+
+def put(*arrays: np.ndarray) -> bytes:
+    return b"".join([np.array([len(arrays), *(len(a) for a in arrays)], np.int64).tobytes(), *(np.ascontiguousarray(a).tobytes() for a in arrays)])
+
+
+def get(blob: bytes, *kinds) -> list[np.ndarray]:
+    n = int(np.frombuffer(blob, np.int64, 1)[0])
+    lengths, at, out = np.frombuffer(blob, np.int64, n, 8).tolist(), 8 + 8 * n, []
+    for length, kind in zip(lengths, kinds, strict=True):
+        out.append(np.frombuffer(blob, kind, length, at))
+        at += length * np.dtype(kind).itemsize
+    return out
+
+
+def stacked(blobs, *kinds) -> list[np.ndarray]:
+    """The arrays of several values, each kind end to end."""
+    got = [get(b, *kinds) for b in blobs]
+    return [np.concatenate([g[i] for g in got]) if got else np.zeros(0, k) for i, k in enumerate(kinds)]
+
+
+def split_by(part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(part, indices in order) of each part that occurs."""
+    order = np.argsort(part, kind="stable")
+    ordered = part[order]
+    at = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])) if len(part) else np.zeros(0, np.int64)
+    for a, b in zip(at.tolist(), [*at[1:].tolist(), len(part)], strict=True):
+        yield int(ordered[a]), order[a:b]
 
 
 # ---- connected components ------------------------------------------------------------------------
