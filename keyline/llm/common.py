@@ -215,7 +215,9 @@ def split_by(part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """(part, indices in order) of each part that occurs."""
     order = np.argsort(part, kind="stable")
     ordered = part[order]
-    at = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])) if len(part) else np.zeros(0, np.int64)
+    if not len(part):
+        return
+    at = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
     for a, b in zip(at.tolist(), [*at[1:].tolist(), len(part)], strict=True):
         yield int(ordered[a]), order[a:b]
 
