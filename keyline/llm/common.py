@@ -163,6 +163,19 @@ def shingle_sets(texts: pa.Array, k: int) -> list[np.ndarray]:
     return out
 
 
+def least(key: np.ndarray, w: int) -> np.ndarray:
+    """The least of each ``w`` consecutive keys (uint64), by running minima of blocks from both ends."""
+    n = len(key)
+    rows = -(-n // w) + 1
+    table = np.full(rows * w, np.uint64(0xFFFFFFFFFFFFFFFF))
+    table[:n] = key
+    table = table.reshape(rows, w)
+    ahead = np.minimum.accumulate(table, axis=1).reshape(-1)
+    behind = np.minimum.accumulate(table[:, ::-1], axis=1)[:, ::-1].reshape(-1)
+    count = max(0, n - w + 1)
+    return np.minimum(behind[:count], ahead[w - 1 : w - 1 + count])
+
+
 # ---- bounded bitmaps -----------------------------------------------------------------------------
 
 

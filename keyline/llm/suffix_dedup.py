@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyline.llm.common import bitmap, documents, get, marked, mix, only_marked, partitions, prefix, put, raw, slices, split_by, stacked, staged
+from keyline.llm.common import bitmap, documents, get, least, marked, mix, only_marked, partitions, prefix, put, raw, slices, split_by, stacked, staged
 
 LENGTH = 100
 ANCHOR = 32
@@ -53,14 +53,8 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int, k: int) -> tuple
     n = len(hashes)
     low = np.uint64((1 << 34) - 1)  # places; the hash's upper bits order strings, and of equal ones the leftmost is the anchor
     key = (hashes & ~low) | np.arange(n, dtype=np.uint64)
-    rows = -(-n // w) + 1
-    padded = np.full(rows * w, np.uint64(0xFFFFFFFFFFFFFFFF))
-    padded[:n] = key
-    table = padded.reshape(rows, w)
-    ahead = np.minimum.accumulate(table, axis=1).reshape(-1)
-    behind = np.minimum.accumulate(table[:, ::-1], axis=1)[:, ::-1].reshape(-1)
-    starts = len(data) - length + 1
-    anchor = (np.minimum(behind[:starts], ahead[w - 1 : w - 1 + starts]) & low).astype(np.int64)
+    anchor = (least(key, w) & low).astype(np.int64)
+    starts = len(anchor)
     edge = np.zeros(len(data) + 1, np.int64)
     lasting = sizes >= length
     np.add.at(edge, offsets[:-1][lasting], 1)
