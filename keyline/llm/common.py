@@ -9,6 +9,7 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -224,6 +225,18 @@ def stacked(blobs, *kinds) -> list[np.ndarray]:
     return [np.concatenate([g[i] for g in got]) if got else np.zeros(0, k) for i, k in enumerate(kinds)]
 
 
+def dealt(df: DataFrame, key: str, fn, schema: str) -> DataFrame:
+    """``fn`` on all rows of each partition as one frame, rows dealt by ``key`` in 0..partitions - 1; so what a task sends
+    on are as many values as there are partitions at most, like the blocks of any exchange."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = [f for f in frames if len(f)]
+        if held:
+            yield fn(pd.concat(held, ignore_index=True))
+
+    return df.repartitionById(partitions(df.sparkSession), F.col(key)).mapInPandas(run, schema)
+
+
 def split_by(part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """(part, indices in order) of each part that occurs."""
     order = np.argsort(part, kind="stable")

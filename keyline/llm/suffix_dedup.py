@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyline.llm.common import bitmap, documents, get, least, marked, mix, only_marked, partitions, prefix, put, raw, slices, split_by, stacked, staged
+from keyline.llm.common import bitmap, dealt, documents, get, least, marked, mix, only_marked, partitions, prefix, put, raw, slices, split_by, stacked, staged
 
 LENGTH = 100
 ANCHOR = 32
@@ -383,17 +383,17 @@ def _kept(length: int) -> Callable:
 
 def repeated_strings(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, content: bool = True) -> DataFrame:
     """Rows (doc_id, n_bytes, n_removed, n_spans, kept_sha256), with ``content`` also kept (bytes) and spans (ends of removed runs)."""
-    parts = 4 * partitions(docs.sparkSession)
+    parts = partitions(docs.sparkSession)
     text = F.coalesce(F.col("text"), F.lit(""))
     keyed = docs.select("doc_id", text.alias("text"), F.coalesce("doc_id", F.lit(_LEAST)).alias("o"), F.xxhash64(text).alias("v"))
     blobs = "part int, kind int, blob binary"
     seen = keyed.select("o", "v", "text").mapInArrow(_anchored(parts, length, anchor), blobs)
-    back = seen.groupBy("part").applyInPandas(_met(parts), "home int, blob binary")
-    wanted = staged(back.groupBy("home").applyInPandas(_by_document, "o long, v long, anchors binary"), "suffix-anchors")
+    back = dealt(seen, "part", _met(parts), "home int, blob binary")
+    wanted = staged(dealt(back, "home", _by_document, "o long, v long, anchors binary"), "suffix-anchors")
     cut = only_marked(keyed.select("o", "v", "text"), "o", bitmap(wanted, "o")).join(wanted, ["o", "v"])
     runs = cut.select("o", "v", "text", "anchors").mapInArrow(_runs(parts, length), blobs)
-    spans = runs.groupBy("part").applyInPandas(_merged(parts, length), "home int, blob binary")
-    starts = staged(spans.groupBy("home").applyInPandas(_spans_by_document, "o long, v long, starts binary"), "suffix-starts")
+    spans = dealt(runs, "part", _merged(parts, length), "home int, blob binary")
+    starts = staged(dealt(spans, "home", _spans_by_document, "o long, v long, starts binary"), "suffix-starts")
     flagged = marked(keyed, "o", bitmap(starts, "o"))
     columns = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept", "spans"] if content else [])]
     zero = F.lit(0).cast("long")
