@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from keyline.plans import relational, selection
+
+QUERIES = selection.QUERIES | relational.QUERIES
+ORACLES = selection.ORACLES | relational.ORACLES
