@@ -168,8 +168,9 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, **options)
     )
     joined = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")
     names = list(FEATURES)
-    rows = with_statistics(joined).where(~base_failed()).select("doc_id", "_kl_q", *(feature(f).alias(f) for f in names)).collect()
-    rows.sort(key=lambda r: tuple(r))
+    # at most most_rows rows; those that fail the base rules go here, as Spark would move that filter before the join and count all texts
+    got = with_statistics(joined).select(base_failed().alias("_kl_failed"), "doc_id", "_kl_q", *(feature(f).alias(f) for f in names)).collect()
+    rows = sorted(tuple(r)[1:] for r in got if not r["_kl_failed"])
     if not rows:
         return []
     x = np.array([r[2:] for r in rows], float)
