@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from keyline.plans import relational, selection
+from keyline.plans import harness, relational, selection
 
-QUERIES = selection.QUERIES | relational.QUERIES
-ORACLES = selection.ORACLES | relational.ORACLES
+QUERIES = selection.QUERIES | relational.QUERIES | harness.QUERIES
+ORACLES = selection.ORACLES | relational.ORACLES | harness.ORACLES
