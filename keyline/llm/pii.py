@@ -28,6 +28,8 @@ from keyline.llm.common import documents, slices
 
 KEY = b"keyline pseudonyms"
 ROUNDS = 10
+#: Characters that are permuted as one number: 64 of them have halves of less than 256 bits.
+SPAN = 64
 DIGITS, LOWER, UPPER, HEX = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789abcdef"
 KINDS = ("email", "card", "iban", "ssn", "ip", "phone", "date", "secret")
 
@@ -57,7 +59,20 @@ def permuted(x: int, n: int, tweak: str, key: bytes, back: bool = False) -> int:
 
 
 def lettered(s: str, tweak: str, key: bytes, back: bool = False, alphabets=(DIGITS, LOWER, UPPER)) -> str:
-    """Each letter and digit stays of its kind in its place; all of them together are permuted as one number."""
+    """Each letter and digit stays of its kind in its place; SPAN characters at a time are permuted as one number.
+
+    Later spans are permuted under all pseudonyms before them, so a network's halves never outgrow its rounds' numbers.
+    """
+    out, chain = [], hashlib.sha256()
+    for at in range(0, len(s), SPAN) or (0,):
+        part = s[at : at + SPAN]
+        made = _lettered(part, f"{tweak}|{chain.hexdigest()}" if at else tweak, key, back, alphabets)
+        chain.update((part if back else made).encode())
+        out.append(made)
+    return "".join(out)
+
+
+def _lettered(s: str, tweak: str, key: bytes, back: bool, alphabets) -> str:
     kinds = [next((a for a in alphabets if c in a), None) for c in s]
     n, x = 1, 0
     for c, a in zip(s, kinds, strict=True):
@@ -195,9 +210,9 @@ def secret(s: str, key: bytes, back: bool = False) -> str | None:
     return s[:at] + lettered(body, "secret", key, back, alphabets)
 
 
-#: Fixed shapes. A match that its check refuses is searched no further as another kind, except a number that is no card or IBAN.
+#: Fixed shapes, each found in linear time: an address is looked for once in each run of its characters. A match that its check refuses is searched no further as another kind, except a number that is no card or IBAN.
 _SHAPES = re.compile(
-    r"(?P<email>[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})"
+    r"(?<![A-Za-z0-9._%+-])[._%+-]*+(?P<email>[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})"
     r"|(?P<secret>\bAKIA[0-9A-Z]{16}\b|\b(?:password|passwd|secret|token|api_key)\s?[=:]\s?[^\s\"']{6,}|(?<![0-9A-Za-z])[0-9a-f]{40}(?![0-9A-Za-z]))"
     r"|(?P<iban>\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b)"
     r"|(?P<ip>(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9]))"
@@ -224,13 +239,14 @@ def pseudonymised(text: str, key: bytes = KEY) -> tuple[str, dict[str, int]]:
 
     def put(m: re.Match) -> str:
         kind = m.lastgroup
-        new = _once(kind, m[0], key)
-        if new is None and kind == "card" and m[0].isdigit() is False:
-            new = _once(kind := "phone", m[0], key)
+        value = m[kind]
+        new = _once(kind, value, key)
+        if new is None and kind == "card" and value.isdigit() is False:
+            new = _once(kind := "phone", value, key)
         if new is None:
             return m[0]
         found[kind] = found.get(kind, 0) + 1
-        return new
+        return m[0][: -len(value)] + new
 
     return _SHAPES.sub(put, text), found
 
