@@ -55,7 +55,7 @@ def targets(by_source: DataFrame, weights=WEIGHTS, share: float = SHARE, epochs:
 def plan(sizes: DataFrame, **options) -> DataFrame:
     """Of each source of ``sizes`` (source, draw, size): source_size, target, whole repetitions, and the last draw that is taken once more.
 
-    A document is taken once more if its middle, in the seeded order, lies within the fraction; so the taken words miss
+    A document is taken once more if its middle, in the seeded order, lies below the fraction's end; so the taken words miss
     the target by half a document at most.
     """
     per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
@@ -69,7 +69,7 @@ def plan(sizes: DataFrame, **options) -> DataFrame:
     before = dealt.groupBy("source", "range").agg(F.sum("size").alias("n")).select("source", "range", (F.sum("n").over(Window.partitionBy("source").orderBy("range")) - F.col("n")).alias("earlier"))
     inner = Window.partitionBy("source", "range").orderBy("draw", "size").rowsBetween(Window.unboundedPreceding, 0)
     placed = dealt.withColumn("upto", F.sum("size").over(inner)).alias("d").join(before.alias("b"), F.expr("d.source <=> b.source AND d.range = b.range")).select("d.source", "d.draw", (F.col("earlier") + F.col("upto") - F.col("size") / 2).alias("middle"))
-    last = placed.alias("p").join(goal.alias("g"), F.expr("p.source <=> g.source")).where("middle <= rest").groupBy("p.source").agg(F.max("draw").alias("last"))
+    last = placed.alias("p").join(goal.alias("g"), F.expr("p.source <=> g.source")).where("middle < rest").groupBy("p.source").agg(F.max("draw").alias("last"))
     out = goal.alias("g").join(last.alias("l"), F.expr("g.source <=> l.source"), "left").select("g.*", F.coalesce("l.last", F.lit("")).alias("last"))
     return staged(out, "mixing-plan")
 
@@ -110,7 +110,7 @@ goal AS (SELECT source, source_size, CASE WHEN w * level < cap THEN w * max(CASE
 whole AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS whole FROM goal),
 placed AS (SELECT source, draw, sum(size) OVER (PARTITION BY source ORDER BY draw, size ROWS UNBOUNDED PRECEDING) - size / 2.0::DOUBLE AS middle FROM sizes),
 last AS (SELECT p.source, max(p.draw) AS last FROM placed p JOIN whole g ON p.source IS NOT DISTINCT FROM g.source
-         WHERE p.middle <= g.target - g.whole * g.source_size GROUP BY p.source)
+         WHERE p.middle < g.target - g.whole * g.source_size GROUP BY p.source)
 SELECT d.doc_id, d.size, g.source_size, g.target,
        CAST(d.size * (g.whole + CASE WHEN d.draw <= coalesce(l.last, '') THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM sizes d JOIN whole g ON d.source IS NOT DISTINCT FROM g.source LEFT JOIN last l ON g.source IS NOT DISTINCT FROM l.source

@@ -160,6 +160,13 @@ def test_mixing(spark, docs):
         assert goal[s] == pytest.approx(caps[s] if s in full else open_[s])
 
 
+def test_mixing_of_repeated_ids(spark):
+    """A source at its cap takes no row a third time, not even by an empty text of the same id."""
+    rows = [(0, "", "a"), (0, "two words", "a"), (1, "word " * 100, "b")]
+    n = Counter(r["text"] for r in mixing.mixed(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect())
+    assert n["two words"] == 2
+
+
 def test_token_counts(docs, texts):
     pieces = set(token_counts.pieces_of(token_counts.default_vocabulary()))
 
