@@ -248,25 +248,42 @@ def split_by(part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         yield int(ordered[a]), order[a:b]
 
 
-# ---- connected components ------------------------------------------------------------------------
+# ---- hot keys and connected components -----------------------------------------------------------
+
+#: A key of fewer rows is no hub, however small the table.
+LEAST_HUB = 1000
+
+
+def hub_join(rows: DataFrame, per_key: DataFrame, key: str, most_rows: int) -> DataFrame:
+    """``rows`` joined to ``per_key``, which has one row a key and its number of rows in column ``_kl_n``.
+
+    Keys that hold more than a partition's share of ``most_rows`` (at least all rows) are as many as partitions at most:
+    they are broadcast, and their rows stay where they are. All other rows are dealt by key.
+    """
+    hub = max(LEAST_HUB, most_rows // partitions(rows.sparkSession))
+    hubs = per_key.where(F.col("_kl_n") > hub).drop("_kl_n")
+    others = per_key.where(F.col("_kl_n") <= hub).drop("_kl_n")
+    few = rows.join(F.broadcast(hubs.select(key)), key, "left_anti")
+    return rows.join(F.broadcast(hubs), key).unionByName(few.join(others, key))
 
 
 def connected_components(edges: DataFrame, name: str) -> DataFrame:
     """Rows (node, root) of every node of ``edges`` (u, v): alternating large and small stars until none changes.
 
     Nothing is collected but a row count and a checksum. A node of very many links is met only in aggregates with
-    partial sums and in joins which Spark may split.
+    partial sums and in joins that leave its rows in place.
     """
     e = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
     mark = lambda e: e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    lowest = lambda e: e.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("_kl_n"))
     e = staged(e, name)
     seen = mark(e)
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
+        low = lowest(both).withColumn("m", F.least("u", "m"))
+        large = hub_join(both, low, "u", 2 * seen[0]).where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = lowest(large)
+        small = hub_join(large, low, "u", 2 * seen[0]).where("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
         e = staged(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), name)
         now = mark(e)
         if now == seen:

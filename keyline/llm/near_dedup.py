@@ -21,10 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyline.llm.common import bitmap, connected_components, documents, mix, only_marked, shingle_sets, slices, staged
+from keyline.llm.common import bitmap, connected_components, documents, hub_join, mix, only_marked, shingle_sets, slices, staged
 
-#: Nodes of one component that are compared in one task, at most two such blocks at a time.
-BLOCK = 2048
+#: Nodes of one component, and shingles of theirs, that make a block; two blocks at most are compared in one task.
+BLOCK, BLOCK_SHINGLES = 2048, 1 << 22
 _FAR = np.uint64(0xFFFFFFFFFFFFFFFF)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -182,21 +182,24 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, share: tuple[int, int] =
     bands = bands_for(share[0] / share[1], rows)
     signed = staged(docs.mapInArrow(_signed(shingle, bands, rows), "doc_id long, n_shingles long, print long, bands array<long>"), "near-signed")
     nodes = signed.where("print IS NOT NULL AND doc_id IS NOT NULL").groupBy("print").agg(F.min("doc_id").alias("doc_id"), F.min_by("bands", "doc_id").alias("bands"))
+    most = bands * signed.count()
     banded = nodes.select("print", F.explode("bands").alias("key"))
-    several = banded.groupBy("key").agg(F.min("print").alias("low"), F.max("print").alias("high")).where("low <> high").select("key", "low")
-    stars = banded.join(several, "key").where("print <> low").select(F.col("print").alias("u"), F.col("low").alias("v"))
+    several = banded.groupBy("key").agg(F.min("print").alias("low"), F.max("print").alias("high"), F.count(F.lit(1)).alias("_kl_n")).where("low <> high").select("key", "low", "_kl_n")
+    stars = hub_join(banded, several, "key", most).where("print <> low").select(F.col("print").alias("u"), F.col("low").alias("v"))
     candidates = connected_components(stars, "near-candidates")
-    first = signed.where("print IS NOT NULL").groupBy("print").agg(F.min("doc_id").alias("doc_id"))
-    members = staged(candidates.join(first, candidates["node"] == first["print"]).select("print", "doc_id", "root"), "near-members")
+    first = signed.where("print IS NOT NULL").groupBy("print").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n_shingles"))
+    members = staged(candidates.join(first, candidates["node"] == first["print"]).select("print", "doc_id", "root", "n_shingles"), "near-members")
     sets = only_marked(docs, "doc_id", bitmap(members, "doc_id")).mapInArrow(_sets(shingle), "doc_id long, print long, members binary")
-    blocks = members.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("n"))
-    placed = sets.join(members.join(blocks, "root"), ["doc_id", "print"]).withColumn("own", F.pmod(F.xxhash64("print"), F.col("n")).cast("int"))
+    enough = F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n_shingles") / BLOCK_SHINGLES)
+    blocks = members.groupBy("root").agg(F.ceil(enough).cast("int").alias("n"), F.count(F.lit(1)).alias("_kl_n"))
+    members = hub_join(members, blocks, "root", members.count()).select("print", "doc_id", "root", "n")
+    placed = sets.join(members, ["doc_id", "print"]).withColumn("own", F.pmod(F.xxhash64("print"), F.col("n")).cast("int"))
     met = placed.select("print", "members", "root", "own", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other"))
     met = met.select("print", "members", "root", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"))
     links = met.groupBy("root", "a", "b").applyInPandas(_grouped(share), "u long, v long")
     groups = connected_components(links, "near-links")
-    least = groups.join(first, groups["node"] == first["print"]).groupBy("root").agg(F.min("doc_id").alias("component"))
-    named = groups.join(least, "root").select(F.col("node").alias("print"), "component").unionByName(
+    least = groups.join(first, groups["node"] == first["print"]).groupBy("root").agg(F.min("doc_id").alias("component"), F.count(F.lit(1)).alias("_kl_n"))
+    named = hub_join(groups, least, "root", groups.count()).select(F.col("node").alias("print"), "component").unionByName(
         first.join(groups.select(F.col("node").alias("print")), "print", "left_anti").select("print", F.col("doc_id").alias("component"))
     )
     out = signed.select("doc_id", "n_shingles", "print").join(named, "print", "left")

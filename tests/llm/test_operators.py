@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from keyline.llm import chaining, fingerprints, mixing, near_dedup, packing, pii, quality, suffix_dedup, token_counts, toxicity
+from keyline.llm import chaining, common, fingerprints, mixing, near_dedup, packing, pii, quality, suffix_dedup, token_counts, toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOW = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -131,6 +131,27 @@ def test_linked_in_blocks():
     assert [got.find(i) for i in range(len(sets))] == [want.find(i) for i in range(len(sets))]
 
 
+def test_components_with_hubs(spark, monkeypatch):
+    monkeypatch.setattr(common, "LEAST_HUB", 20)
+    rnd = random.Random(3)
+    edges = [(rnd.randrange(400), rnd.randrange(400)) for _ in range(220)] + [(500, i) for i in range(501, 900)] + [(i, i + 1) for i in range(900, 940)]
+    union = near_dedup.Union(1000)
+    for a, b in edges:
+        union.join(a, b)
+    got = common.connected_components(spark.createDataFrame(edges, "u long, v long"), "test").collect()
+    assert {r["node"]: r["root"] for r in got} == {x: union.find(x) for a, b in edges if a != b for x in (a, b)}
+    assert len(got) == len({r["node"] for r in got})
+
+
+def test_near_duplicates_in_small_blocks(spark, monkeypatch):
+    """A component that is cut into many blocks is found whole."""
+    monkeypatch.setattr(near_dedup, "BLOCK_SHINGLES", 600)
+    base = [f"w{i}" for i in range(120)]
+    rows = [(k, " ".join(w if i != k else "changed" for i, w in enumerate(base))) for k in range(0, 120, 4)]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["component_id"] for r in got} == {0} and [r["doc_id"] for r in got if r["kept"]] == [0]
+
+
 def test_signatures_estimate_likeness():
     rnd = np.random.default_rng(1)
     for n in (1, 5, 40, 900):
