@@ -43,6 +43,16 @@ def test_shared_passages(docs):
     assert not {i for i, _ in found} & {4, 5, 6, 7, 8, 9, 12, 14, 17}
 
 
+@pytest.mark.parametrize("unit", ["the", "buy now", "a b c d e f g"])
+def test_shared_runs_of_repeated_words(spark, unit):
+    prose = lambda seed, n: " ".join(f"w{seed}x{i}" for i in range(n))
+    run = " ".join([unit] * (84 // len(unit.split())))
+    rows = [(0, prose(7, 40) + " " + run + " " + prose(8, 30)), (1, prose(9, 25) + " " + run), (2, prose(10, 90))]
+    got = chaining.shared_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["source_id"]) for r in got} == {(1, 0)}
+    assert any(r["start_word"] <= 25 and r["end_word"] >= 108 and r["n_equal"] >= 83 for r in got)
+
+
 def test_chains_against_plain():
     rnd = random.Random(1)
     for _ in range(60):
