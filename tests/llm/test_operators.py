@@ -359,3 +359,35 @@ def test_toxicity_held_out(spark):
     right = sum(r["predicted"] == r["toxic"] for r in rows)
     assert right >= 0.85 * len(rows)
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in rows)
+
+
+def sown(seed, n):
+    rnd = random.Random(seed)
+    return [f"w{rnd.randrange(10**6)}" for _ in range(n)]
+
+
+def edited(rnd, passage, edits):
+    out = list(passage)
+    for i in rnd.sample(range(len(out)), edits):
+        out[i] = f"e{rnd.randrange(10**6)}"
+    return out
+
+
+def lies_in(got, base):
+    """The given passages, found by an alignment of at least 50 words."""
+    return {r["doc_id"] - base for r in got if r["source_id"] == r["doc_id"] - base and r["end_word"] - r["start_word"] >= 50}
+
+
+@pytest.mark.parametrize(("n", "edits"), [(60, 9), (60, 6), (100, 15), (70, 14), (60, 3)])
+def test_recall_of_fuzzy_passages(spark, n, edits):
+    rnd, rows, base, due = random.Random(n * edits), [], 1000, set()
+    for i in range(100):
+        passage = sown(i, n)
+        copy = edited(rnd, passage, edits)
+        same = [a == b for a, b in zip(passage, copy, strict=True)]
+        ends = [p for p in range(n - 1) if same[p] and same[p + 1]]
+        if ends[-1] + 2 - ends[0] >= 50 and sum(same[ends[0] : ends[-1] + 2]) >= 0.8 * (ends[-1] + 2 - ends[0]):
+            due.add(i)  # an alignment that ends at two equal words is long and like enough
+        rows += [(i, " ".join(sown(i + 2000, 40) + passage + sown(i + 3000, 40))), (base + i, " ".join(sown(i + 4000, 30) + copy + sown(i + 5000, 30)))]
+    found = lies_in(chaining.shared_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect(), base)
+    assert len(due) > 60 and due <= found
