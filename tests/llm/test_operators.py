@@ -391,3 +391,13 @@ def test_recall_of_fuzzy_passages(spark, n, edits):
         rows += [(i, " ".join(sown(i + 2000, 40) + passage + sown(i + 3000, 40))), (base + i, " ".join(sown(i + 4000, 30) + copy + sown(i + 5000, 30)))]
     found = lies_in(chaining.shared_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect(), base)
     assert len(due) > 60 and due <= found
+
+
+def test_passages_whose_halves_stand_elsewhere_earlier(spark):
+    rows, n = [], 12
+    for i in range(n):
+        p = sown(i, 60)
+        parts = [p[:30], p[30:], p, p]
+        rows += [(100 * j + i, " ".join(sown(9000 + 10 * i + j, 40) + part + sown(8000 + 10 * i + j, 40))) for j, part in enumerate(parts)]
+    got = chaining.shared_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert {(r["doc_id"], r["source_id"]) for r in got} == {(300 + i, 200 + i) for i in range(n)}
