@@ -401,3 +401,15 @@ def test_passages_whose_halves_stand_elsewhere_earlier(spark):
         rows += [(100 * j + i, " ".join(sown(9000 + 10 * i + j, 40) + part + sown(8000 + 10 * i + j, 40))) for j, part in enumerate(parts)]
     got = chaining.shared_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
     assert {(r["doc_id"], r["source_id"]) for r in got} == {(300 + i, 200 + i) for i in range(n)}
+
+
+def test_chance_words_around_a_passage(spark):
+    """An exact copy of 52 words, with pairs of equal words a few words apart in the text around it."""
+    rows = []
+    for i in range(10):
+        p, a, b = sown(i, 52), sown(7000 + i, 120), sown(6000 + i, 120)
+        for at in range(8, 50, 12):
+            b[at : at + 2], b[60 + at : 62 + at] = a[at : at + 2], a[60 + at : 62 + at]
+        rows += [(i, " ".join(a[:60] + p + a[60:])), (100 + i, " ".join(b[:60] + p + b[60:]))]
+    got = chaining.shared_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["source_id"], r["start_word"], r["end_word"], r["n_equal"]) for r in got} == {(100 + i, i, 60, 112, 52) for i in range(10)}
