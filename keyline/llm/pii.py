@@ -3,7 +3,9 @@
 Each kind of value is found by its shape, checked, and permuted under a key among the values of the same format: card
 numbers keep their first digit, grouping and a right check digit; dates stay dates in their notation; addresses stay
 addresses. The same value under the same key gives the same pseudonym in every document, and the permutation can be
-undone with the key. A value that fails its check is left alone.
+undone with the key. Of a match that fails its check the shorter
+ones that end between its groups are tried, then other kinds at its place, and the search goes on behind its first group; so
+what is left alone holds no value that any shape and check would take.
 
 Defined cases: a null text stays null; an empty one stays empty; a null doc_id is carried; rows are independent, so
 repeated rows give repeated results; other columns pass through.
@@ -210,17 +212,18 @@ def secret(s: str, key: bytes, back: bool = False) -> str | None:
     return s[:at] + lettered(body, "secret", key, back, alphabets)
 
 
-#: Fixed shapes, each found in linear time: an address is looked for once in each run of its characters. A match that its check refuses is searched no further as another kind, except a number that is no card or IBAN.
-_SHAPES = re.compile(
-    r"(?<![A-Za-z0-9._%+-])[._%+-]*+(?P<email>[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})"
-    r"|(?P<secret>\bAKIA[0-9A-Z]{16}\b|\b(?:password|passwd|secret|token|api_key)\s?[=:]\s?[^\s\"']{6,}|(?<![0-9A-Za-z])[0-9a-f]{40}(?![0-9A-Za-z]))"
-    r"|(?P<iban>\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b)"
-    r"|(?P<ip>(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9]))"
-    r"|(?P<date>(?<![0-9])(?:[0-9]{4}([-/.])[0-9]{2}\6[0-9]{2}|[0-9]{2}([-/.])[0-9]{2}\7[0-9]{4})(?![0-9]))"
-    r"|(?P<ssn>(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-]))"
-    r"|(?P<card>(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9]))"
-    r"|(?P<phone>\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}(?![0-9])|(?<![0-9])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9]))"
-)
+#: Fixed shapes, each found in linear time: an address is looked for once in each run of its characters.
+_ALONE = {
+    "email": r"(?<![A-Za-z0-9._%+-])[._%+-]*+(?P<email>[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})",
+    "secret": r"(?P<secret>\bAKIA[0-9A-Z]{16}\b|\b(?:password|passwd|secret|token|api_key)\s?[=:]\s?[^\s\"']{6,}|(?<![0-9A-Za-z])[0-9a-f]{40}(?![0-9A-Za-z]))",
+    "iban": r"(?P<iban>\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b)",
+    "ip": r"(?P<ip>(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9]))",
+    "date": r"(?P<date>(?<![0-9])(?:[0-9]{4}(?P<y>[-/.])[0-9]{2}(?P=y)[0-9]{2}|[0-9]{2}(?P<z>[-/.])[0-9]{2}(?P=z)[0-9]{4})(?![0-9]))",
+    "ssn": r"(?P<ssn>(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-]))",
+    "card": r"(?P<card>(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9]))",
+    "phone": r"(?P<phone>\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}(?![0-9])|(?<![0-9])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9]))",
+}
+_SHAPES = re.compile("|".join(_ALONE.values()))
 #: A text without any of these holds none of the shapes.
 _MAY = re.compile(r"[0-9]|@|password|passwd|secret|token|api_key|[0-9a-f]{40}", re.IGNORECASE)
 _DO = {f.__name__: f for f in (email, card, iban, ssn, ip, phone, date, secret)}
@@ -231,24 +234,62 @@ def _once(kind: str, value: str, key: bytes) -> str | None:
     return _DO[kind](value, key)
 
 
+#: The shapes one by one, for a place where the first that fits was refused.
+_KINDS = {k: re.compile(v) for k, v in _ALONE.items()}
+#: Where a number's groups begin and end, and the first group of what was refused.
+_BEGIN, _END, _GROUP = re.compile(r"(?<![0-9])[0-9]"), re.compile(r"[0-9](?![0-9])"), re.compile(r"[^0-9A-Za-z]*[0-9A-Za-z]+")
+
+
+def _begins(text: str, kind: str, start: int, at: int, key: bytes) -> bool:
+    """Whether another value begins at a group of a card or phone number, which must then end before."""
+    for other in ("ip", "date", "ssn", *(("card", "phone") if kind == "phone" else ())):
+        m = _KINDS[other].match(text, at)
+        if m and _once(other, m[other], key) is not None:
+            before = text[start:at].rstrip(" .-(")
+            if other not in ("card", "phone") or (_KINDS[kind].fullmatch(before) and len(_digits(before)) >= 8):
+                return True
+    return False
+
+
+def _taken(text: str, first: re.Match, key: bytes) -> tuple[str, int, int, str] | None:
+    """(kind, start, end, pseudonym) of the value where ``first`` is: the kinds in their order; of a card, phone number or
+    IBAN the longest that ends with a group, passes its check and runs into no other value."""
+    for kind, shape in _KINDS.items():
+        m = shape.match(text, first.start())
+        if m is None:
+            continue
+        start, end = m.span(kind)
+        ends = [end]
+        if kind in ("card", "phone"):
+            stop = next((g.start() for g in _BEGIN.finditer(text, start + 1, end) if g.start() > start + 1 and _begins(text, kind, start, g.start(), key)), end)
+            ends = [g.end() for g in _END.finditer(text, start, end) if g.end() <= stop and shape.fullmatch(text, start, g.end())][::-1]
+        elif kind == "iban":
+            ends += [i for i in range(end - 1, start + 14, -1) if text[i] == " "]
+        for as_kind in (kind, "phone") if kind == "card" else (kind,):  # a number in groups that is no card
+            for e in ends:
+                value = text[start:e]
+                if (as_kind == kind or not value.isdigit()) and (new := _once(as_kind, value, key)) is not None:
+                    return as_kind, start, e, new
+    return None
+
+
 def pseudonymised(text: str, key: bytes = KEY) -> tuple[str, dict[str, int]]:
     """The text with its values replaced, and how many of each kind."""
     if not _MAY.search(text):
         return text, {}
     found: dict[str, int] = {}
-
-    def put(m: re.Match) -> str:
-        kind = m.lastgroup
-        value = m[kind]
-        new = _once(kind, value, key)
-        if new is None and kind == "card" and value.isdigit() is False:
-            new = _once(kind := "phone", value, key)
-        if new is None:
-            return m[0]
+    out, done, at = [], 0, 0
+    while (m := _SHAPES.search(text, at)) is not None:
+        got = _taken(text, m, key)
+        if got is None:
+            # behind the first group of what was refused
+            at = m.start(m.lastgroup) + _GROUP.match(m[m.lastgroup]).end()
+            continue
+        kind, start, end, new = got
         found[kind] = found.get(kind, 0) + 1
-        return m[0][: -len(value)] + new
-
-    return _SHAPES.sub(put, text), found
+        out += [text[done:start], new]
+        done = at = end
+    return "".join([*out, text[done:]]), found
 
 
 def _run(key: bytes, text: str):
