@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 #: Bits of the Bloom bitmap that keeps texts which cannot matter out of a shuffle; its size never follows the data.
 BITMAP_BITS = 1 << 23
-_staged: list[tuple[SparkSession, str]] = []
+_staged: dict[str, SparkSession] = {}
+_own: dict[str, str] = {}
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,12 +26,16 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names for checkpoints; a temporary one only where it names none."""
+    """The folder that the cluster names for checkpoints. Where it names none, a temporary one if all runs in one process."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not where:
-        where = f"file://{tempfile.mkdtemp(prefix='keyline-')}"
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where
+    if where:
+        return where
+    context = spark.sparkContext
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if context.applicationId not in _own:
+        _own[context.applicationId] = f"file://{tempfile.mkdtemp(prefix='keyline-')}"
+    return _own[context.applicationId]
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
@@ -41,15 +46,27 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     if not _staged:
         atexit.register(_clean)
-    _staged.append((spark, path))
-    return spark.read.schema(schema).parquet(path)
+    _staged[path] = spark
+    out = spark.read.schema(schema).parquet(path)
+    out._kl_path = path
+    return out
+
+
+def unstaged(*tables: DataFrame) -> None:
+    """Delete staged tables that nothing reads any more."""
+    for df in tables:
+        _delete(_staged.pop(df._kl_path), df._kl_path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def _clean() -> None:
-    for spark, path in _staged:
+    for path, spark in _staged.items():
         try:
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+            _delete(spark, path)
         except Exception:  # the session has ended; the cluster's own clean-up of the folder remains
             return
 
@@ -248,45 +265,26 @@ def split_by(part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         yield int(ordered[a]), order[a:b]
 
 
-# ---- hot keys and connected components -----------------------------------------------------------
-
-#: A key of fewer rows is no hub, however small the table.
-LEAST_HUB = 1000
-
-
-def hub_join(rows: DataFrame, per_key: DataFrame, key: str, most_rows: int) -> DataFrame:
-    """``rows`` joined to ``per_key``, which has one row a key and its number of rows in column ``_kl_n``.
-
-    Keys that hold more than a partition's share of ``most_rows`` (at least all rows) are as many as partitions at most:
-    they are broadcast, and their rows stay where they are. All other rows are dealt by key.
-    """
-    hub = max(LEAST_HUB, most_rows // partitions(rows.sparkSession))
-    hubs = per_key.where(F.col("_kl_n") > hub).drop("_kl_n")
-    others = per_key.where(F.col("_kl_n") <= hub).drop("_kl_n")
-    few = rows.join(F.broadcast(hubs.select(key)), key, "left_anti")
-    return rows.join(F.broadcast(hubs), key).unionByName(few.join(others, key))
+# ---- connected components ------------------------------------------------------------------------
 
 
 def connected_components(edges: DataFrame, name: str) -> DataFrame:
-    """Rows (node, root) of every node of ``edges`` (u, v): alternating large and small stars until none changes.
+    """Rows (node, root) of every node of ``edges`` (u, v): alternating large and small stars until all are stars.
 
-    Nothing is collected but a row count and a checksum. A node of very many links is met only in aggregates with
-    partial sums and in joins that leave its rows in place.
+    Nothing is collected but whether a node is left that is neither a root nor a leaf of one root. What is joined to a
+    node's rows is written before, so both sides are plain exchanges and Spark splits the rows of a node with very many
+    links; aggregates have partial sums.
     """
-    e = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
-    mark = lambda e: e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    lowest = lambda e: e.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("_kl_n"))
-    e = staged(e, name)
-    seen = mark(e)
+    e = staged(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), name)
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = lowest(both).withColumn("m", F.least("u", "m"))
-        large = hub_join(both, low, "u", 2 * seen[0]).where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = lowest(large)
-        small = hub_join(large, low, "u", 2 * seen[0]).where("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
-        e = staged(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), name)
-        now = mark(e)
-        if now == seen:
+        low = staged(both.groupBy("u").agg(F.min("v").alias("m"), F.max("v").alias("h")), name)
+        if not low.where("m < u AND m < h").take(1):
             break
-        seen = now
-    return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+        large = staged(both.join(low.select("u", F.least("u", "m").alias("m")), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), name)
+        least = staged(large.groupBy("u").agg(F.min("v").alias("m")), name)
+        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        new = staged(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), name)
+        unstaged(e, low, large, least)
+        e = new
+    return low.select(F.col("u").alias("node"), F.least("u", "m").alias("root"))

@@ -142,8 +142,7 @@ def test_linked_in_blocks():
     assert [got.find(i) for i in range(len(sets))] == [want.find(i) for i in range(len(sets))]
 
 
-def test_components_with_hubs(spark, monkeypatch):
-    monkeypatch.setattr(common, "LEAST_HUB", 20)
+def test_components(spark):
     rnd = random.Random(3)
     edges = [(rnd.randrange(400), rnd.randrange(400)) for _ in range(220)] + [(500, i) for i in range(501, 900)] + [(i, i + 1) for i in range(900, 940)]
     union = near_dedup.Union(1000)
@@ -152,15 +151,44 @@ def test_components_with_hubs(spark, monkeypatch):
     got = common.connected_components(spark.createDataFrame(edges, "u long, v long"), "test").collect()
     assert {r["node"]: r["root"] for r in got} == {x: union.find(x) for a, b in edges if a != b for x in (a, b)}
     assert len(got) == len({r["node"] for r in got})
-
-
-def test_near_duplicates_in_small_blocks(spark, monkeypatch):
-    """A component that is cut into many blocks is found whole."""
-    monkeypatch.setattr(near_dedup, "BLOCK_SHINGLES", 600)
-    base = [f"w{i}" for i in range(120)]
-    rows = [(k, " ".join(w if i != k else "changed" for i, w in enumerate(base))) for k in range(0, 120, 4)]
-    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert {r["component_id"] for r in got} == {0} and [r["doc_id"] for r in got if r["kept"]] == [0]
+    assert common.connected_components(spark.createDataFrame([], "u long, v long"), "test").count() == 0
+
+
+@pytest.mark.parametrize(("block", "pilots"), [(8, 2), (3, 1)])
+def test_near_duplicates_in_small_blocks(spark, monkeypatch, block, pilots):
+    """Stars that are cut into many blocks are found whole: chains of texts, each like its neighbours only, and a crowd around one."""
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    monkeypatch.setattr(near_dedup, "PILOTS", pilots)
+    rnd, rows = random.Random(5), []
+    for c in range(3):
+        base = [f"c{c}w{i}" for i in range(90)]
+        for _ in range(40):
+            base = list(base)
+            base[rnd.randrange(90)] = f"n{rnd.randrange(10**6)}"
+            rows.append((len(rows), " ".join(base)))
+    base = [f"b{i}" for i in range(90)]
+    rows += [(200 + k, " ".join(w if i not in (k, (7 * k) % 90) else f"x{k}" for i, w in enumerate(base))) for k in range(60)]
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, (85, 100), 6).collect()}
+    sets, union = {i: shingles(t, 3) for i, t in rows}, near_dedup.Union(300)
+    for i in sets:
+        for j in sets:
+            both = len(sets[i] & sets[j])
+            if j < i and 100 * both >= 85 * (len(sets[i]) + len(sets[j]) - both):
+                union.join(i, j)
+    assert got == {i: union.find(i) for i in sets}
+
+
+def test_one_of_each(spark):
+    """Equal rows, null ids and one id with two texts: one row of each group stays, and no other."""
+    a, b, c = prose_of(1), prose_of(2), prose_of(3)
+    rows = [(1, a), (1, a), (1, a), (2, a), (2, b), (None, a), (None, c), (None, c), (None, None), (5, ""), (5, ""), (7, b + " more")]
+    got = near_dedup.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r["doc_id"], r["text"]) for r in got) == Counter([(1, a), (2, b), (None, c), (None, None), (5, ""), (5, "")])
+
+
+def prose_of(seed):
+    rnd = random.Random(seed)
+    return " ".join(f"w{rnd.randrange(10**6)}" for _ in range(120))
 
 
 def test_signatures_estimate_likeness():
