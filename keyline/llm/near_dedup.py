@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from keyline.llm.common import bitmap, connected_components, documents, mix, only_marked, shingle_sets, slices, staged, unstaged
 
 #: Nodes of one star, and shingles of theirs, that make a block; of so many nodes about, each block of a star has the same.
-BLOCK, BLOCK_SHINGLES, PILOTS = 512, 1 << 21, 16
+BLOCK, BLOCK_SHINGLES, PILOTS = 256, 1 << 21, 8
 _FAR = np.uint64(0xFFFFFFFFFFFFFFFF)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
