@@ -1,21 +1,22 @@
 """Toxicity: nearest labelled examples by exact TF-IDF cosine, found with block-max inverted indexes.
 
-Terms are words in lower case without marks at their ends. Of a bounded sample of labelled documents, the terms which
-labels favour form the vocabulary, and the documents an index: postings by block of examples, and each term's largest
-weight in each block. A query takes blocks by falling bound and stops at the first whose bound is below the k-th best;
-so the nearest, ties included, are exact. Their votes, weighted by distance and drawn to the sample's share, are the
-score; the nearest examples themselves are the evidence. A text without any term of the vocabulary has the share of its
-like among the examples.
+Terms are words in lower case without marks at their ends; all terms of the examples count. A term's weight in a text is
+(1 + log times) * idf * (1 + z * z): z says in standard errors how unequally toxic and other examples have the term, so
+the few words that tell outweigh hundreds that don't, and none is left out. Examples lie in blocks, those of like heavy
+terms together; for each term and block the index has the postings and the largest weight. A query bounds all blocks,
+scores the most promising, and then those whose bound is not below the k-th best; so the nearest, ties included, are
+exact. Their votes, weighted by distance and drawn to the sample's share, are the score; the nearest examples themselves
+are the evidence. A text that shares no term with any example has the sample's share.
 
 Defined cases: a null or empty text has no terms; a null doc_id is scored and is not held out; labels of null doc_id or
-null toxic are ignored, of several labels the highest counts; without usable labels every score is 0; repeated rows are
-scored alike; labels, lang, source and doc_id are no inputs of a score.
+null toxic are ignored, of several labels the highest counts; of several rows of a labelled doc_id the least text is the
+example; without usable labels every score is 0; repeated rows are scored alike; labels, lang, source and doc_id are no
+inputs of a score.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -27,152 +28,162 @@ from pyspark.sql import functions as F
 
 from keyline.llm.common import documents, slices
 
-#: Labelled documents that are learned from at most, dealt by a hash of their id; and terms of the vocabulary at most.
-MOST_EXAMPLES = 20_000
-MOST_TERMS = 256
+#: Labelled documents that are learned from at most, dealt by a hash of their id. Each is one row of the index.
+MOST_EXAMPLES = 5_000
 MARKS = ".,;:!?\"'()[]{}#*$%&|<>-_"
 NEAREST = 25
-BLOCK = 128
+BLOCK = 64
+#: Blocks that are scored before the others' bounds are looked at.
+AHEAD = 4
 
 
-def term_counts(texts: pa.Array, vocabulary: dict[str, int] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
+def term_counts(texts: pa.Array, vocabulary: pa.Array | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
     """Rows (text, term, times) by text, and the terms; with a vocabulary, of its terms and under its numbers."""
     parts = pc.ascii_split_whitespace(texts.fill_null("").cast(pa.large_string()))
     coded = parts.flatten().dictionary_encode()
-    plain = pc.utf8_trim(pc.utf8_lower(coded.dictionary), MARKS)
+    plain = pc.utf8_trim(pc.utf8_lower(coded.dictionary), MARKS).cast(pa.large_string())
     if vocabulary is None:
-        plain = plain.dictionary_encode()
-        names, code = plain.dictionary.to_pylist(), plain.indices.to_numpy().astype(np.int64)
-        code = np.where(pc.equal(plain.dictionary, "").to_numpy(zero_copy_only=False)[code], -1, code) if len(code) else code
-    else:
-        names = list(vocabulary)
-        at = pc.index_in(plain, pa.array(names, plain.type))
-        code = pc.fill_null(at, -1).to_numpy().astype(np.int64)
+        vocabulary = pc.unique(plain.filter(pc.not_equal(plain, "")))
+    code = pc.fill_null(pc.index_in(plain, vocabulary), -1).to_numpy(zero_copy_only=False).astype(np.int64)
     term = code[coded.indices.to_numpy()] if len(coded) else np.zeros(0, np.int64)
-    text = np.repeat(np.arange(len(texts)), pc.list_value_length(parts).to_numpy())
-    used = term >= 0
-    key, times = np.unique(text[used] * max(len(names), 1) + term[used], return_counts=True)
-    return key // max(len(names), 1), key % max(len(names), 1), times, names
+    text = np.repeat(np.arange(len(texts)), pc.list_value_length(parts).to_numpy(zero_copy_only=False))
+    used, width = term >= 0, max(len(vocabulary), 1)
+    key, times = np.unique(text[used] * width + term[used], return_counts=True)
+    return key // width, key % width, times, vocabulary
+
+
+def spans(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """All indices of the given spans, one span after the other."""
+    return np.repeat(begin - np.cumsum(size) + size, size) + np.arange(size.sum())
 
 
 @dataclass
 class Index:
-    """Examples with a term of the vocabulary, in blocks; of each term its weights by example, and its largest by block."""
+    """Weighted examples. An entry is a term's postings in a block; entries are ordered by term, postings by entry."""
 
-    terms: dict[str, int]
-    idf: np.ndarray
+    terms: pa.Array
+    weight: np.ndarray
     ids: np.ndarray
     toxic: np.ndarray
-    postings: list[list[tuple[np.ndarray, np.ndarray] | None]]
-    bound: np.ndarray
     share: float
-    bare: float
+    entries: np.ndarray
+    block: np.ndarray
+    largest: np.ndarray
+    postings: np.ndarray
+    example: np.ndarray
+    worth: np.ndarray
     known: dict = field(default_factory=dict)
 
+    @classmethod
+    def of(cls, terms: pa.Array, weight: np.ndarray, ids: np.ndarray, toxic: np.ndarray, text: np.ndarray, term: np.ndarray, times: np.ndarray) -> Index:
+        """From rows (text, term, times) of the examples, by text."""
+        w = (1 + np.log(times)) * weight[term]
+        w = w / np.maximum(np.sqrt(np.bincount(text, w * w, len(ids))), 1e-12)[text]
+        heavy = np.full((len(ids), 2), -1)  # like examples share a block, so bounds are tight
+        order = np.lexsort((-w, text))
+        nth = np.arange(len(text)) - np.searchsorted(text, text)
+        for k in range(2):
+            at = order[nth == k]
+            heavy[text[at], k] = term[at]
+        place = np.empty(len(ids), np.int64)
+        turn = np.lexsort((ids, heavy[:, 1], heavy[:, 0]))
+        place[turn] = np.arange(len(ids))
+        example = place[text]
+        by = np.lexsort((example, term))
+        term, example, w = term[by], example[by], w[by]
+        block = example // BLOCK
+        begin = np.flatnonzero(np.append(True, (term[1:] != term[:-1]) | (block[1:] != block[:-1])))[: len(term)]
+        return cls(
+            terms, weight, ids[turn], toxic[turn], float(toxic.mean()), np.searchsorted(term[begin], np.arange(len(terms) + 1)), block[begin],
+            np.maximum.reduceat(w, begin) if len(begin) else w, np.append(begin, len(term)), example.astype(np.int32), w,
+        )
+
     def vector(self, terms: np.ndarray, times: np.ndarray) -> np.ndarray:
-        w = (1 + np.log(times)) * self.idf[terms]
+        w = (1 + np.log(times)) * self.weight[terms]
         return w / max(math.sqrt(float(w @ w)), 1e-12)
 
     def nearest(self, terms: np.ndarray, q: np.ndarray, k: int = NEAREST) -> tuple[np.ndarray, np.ndarray]:
         """All examples at least as near as the k-th nearest, with their cosine, nearest first."""
-        bounds = q @ self.bound[terms]
-        found, cosines, least = [], [], 0.0
-        for b in np.argsort(-bounds, kind="stable").tolist():
-            if bounds[b] <= 0 or bounds[b] < least - 1e-9:
-                break
-            scores = np.zeros(min(BLOCK, len(self.ids) - b * BLOCK))
-            for t, w in zip(terms.tolist(), q.tolist(), strict=True):
-                if (p := self.postings[b][t]) is not None:
-                    scores[p[0]] += w * p[1]
-            at = np.flatnonzero(scores > 0)
-            found.append(at + b * BLOCK)
-            cosines.append(np.round(scores[at], 9))
-            every = np.concatenate(cosines)
-            if len(every) >= k:
-                least = float(np.partition(every, len(every) - k)[len(every) - k])
-        if not found:
-            return np.zeros(0, np.int64), np.zeros(0)
-        at, c = np.concatenate(found), np.concatenate(cosines)
-        at, c = at[c >= least], c[c >= least]
-        order = np.lexsort((self.ids[at], -c))
-        return at[order], c[order]
+        n = self.entries[terms + 1] - self.entries[terms]
+        entry, weight = spans(self.entries[terms], n), np.repeat(q, n)
+        block = self.block[entry]
+        bounds = np.bincount(block, weight * self.largest[entry], -(-len(self.ids) // BLOCK))
+        ahead = np.zeros(len(bounds), bool)
+        ahead[np.argpartition(-bounds, min(AHEAD, len(bounds)) - 1)[:AHEAD]] = True
+        cosine = np.zeros(len(self.ids))
+
+        def score(blocks: np.ndarray) -> None:
+            some = blocks[block]
+            e, w = entry[some], weight[some]
+            size = self.postings[e + 1] - self.postings[e]
+            at = spans(self.postings[e], size)
+            cosine[:] += np.bincount(self.example[at], np.repeat(w, size) * self.worth[at], len(cosine))
+
+        def least() -> float:
+            return float(np.partition(cosine, len(cosine) - k)[len(cosine) - k]) if len(cosine) >= k else 0.0
+
+        score(ahead)
+        score((bounds > 0) & (bounds >= least() - 1e-9) & ~ahead)
+        cosine = np.round(cosine, 9)
+        at = np.flatnonzero((cosine > 0) & (cosine >= least()))
+        at = at[np.lexsort((self.ids[at], -cosine[at]))]
+        return at, cosine[at]
 
     def score(self, terms: np.ndarray, times: np.ndarray) -> tuple[float, list[int]]:
         if not len(terms):
-            return self.bare, []
-        key = (terms.tobytes(), times.tobytes())
+            return self.share, []
+        key = hash((terms.tobytes(), times.tobytes()))
         if key not in self.known:
             if len(self.known) > 50_000:
                 self.known.clear()
             at, c = self.nearest(terms, self.vector(terms, times))
             w = 1 / (1.05 - np.minimum(c, 1.0))
-            s = (float(w @ self.toxic[at]) + self.share) / (float(w.sum()) + 1)
-            self.known[key] = (s, self.ids[at[:5]].tolist())
+            self.known[key] = (float(w @ self.toxic[at]) + self.share) / (float(w.sum()) + 1), self.ids[at[:5]].tolist()
         return self.known[key]
 
 
-def _document_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    every: Counter = Counter()
-    toxic: Counter = Counter()
+def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
-        text, term, _, names = term_counts(batch.column("text"))
-        bad = batch.column("toxic").to_numpy()[text] > 0
-        for found, some in ((every, term), (toxic, term[bad])):
-            n = np.bincount(some, minlength=len(names))
-            found.update({names[i]: int(n[i]) for i in np.flatnonzero(n)})
-    yield pa.RecordBatch.from_arrays([pa.array(list(every), pa.string()), pa.array(list(every.values()), pa.int64()), pa.array([toxic[t] for t in every], pa.int64())], ["term", "n", "n_toxic"])
-
-
-def _vectors(terms: dict[str, int]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            text, term, times, _ = term_counts(batch.column("text"), terms)
-            cut = np.searchsorted(text, np.arange(len(batch) + 1)).astype(np.int32)
-            lists = [pa.ListArray.from_arrays(pa.array(cut), pa.array(x.astype(np.int64))) for x in (term, times)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), *lists], ["doc_id", "toxic", "terms", "times"])
-
-    return run
+        text, term, times, names = term_counts(batch.column("text"))
+        cut = pa.array(np.searchsorted(text, np.arange(len(batch) + 1)).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(cut, x) for x in (names.take(pa.array(term)).cast(pa.string()), pa.array(times.astype(np.int64)))]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), *lists], ["doc_id", "toxic", "terms", "times"])
 
 
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_EXAMPLES, least_lift: float = 3.0, least_z: float = 4.0) -> Index | None:
-    """Learns from at most ``most`` labelled documents that are not held out; their ids are broadcast, their texts stay."""
+def weights(text: np.ndarray, term: np.ndarray, toxic: np.ndarray, n_terms: int) -> np.ndarray:
+    """idf * (1 + z * z) of each term, from rows (text, term) of the examples."""
+    n, bad = len(toxic), float(toxic.sum())
+    has, among = np.bincount(term, minlength=n_terms), np.bincount(term, toxic[text], n_terms)
+    pooled = (has + 1) / (n + 2)
+    z = ((among + 0.5) / (bad + 1) - (has - among + 0.5) / (n - bad + 1)) / np.sqrt(pooled * (1 - pooled) * (1 / bad + 1 / (n - bad)))
+    return np.log((n + 1) / has) * (1 + z * z)
+
+
+def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_EXAMPLES) -> Index | None:
+    """Learns from at most ``most`` labelled documents that are not held out; their ids are broadcast, and one row of terms
+    each goes to the driver."""
     some = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(~held_out(F.col("doc_id")))
     some = some.groupBy("doc_id").agg(F.max("toxic").cast("long").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    examples = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")
-    totals = some.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
-    n, bad = int(totals[0]), int(totals[1])
-    if not 0 < bad < n:
+    met = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(some), "doc_id")
+    examples = met.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic"))
+    rows = examples.mapInArrow(_terms, "doc_id long, toxic long, terms array<string>, times array<long>").toArrow().combine_chunks().sort_by("doc_id")
+    ids, toxic = rows["doc_id"].to_numpy(), (rows["toxic"].to_numpy() > 0).astype(float)
+    if not 0 < toxic.sum() < len(toxic):
         return None
-    seen = examples.mapInArrow(_document_frequencies, "term string, n long, n_toxic long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("n_toxic").alias("bad"))
-    p1, p0 = (F.col("bad") + 0.5) / (bad + 1), (F.col("n") - F.col("bad") + 0.5) / (n - bad + 1)
-    pooled = (F.col("n") + 1) / (n + 2)
-    z = (p1 - p0) / F.sqrt(F.greatest(pooled * (1 - pooled), F.lit(1e-9)) * (1 / bad + 1 / (n - bad)))
-    chosen = seen.where((F.col("bad") >= 3) & (p1 / p0 >= least_lift) & (z >= least_z)).orderBy(z.desc(), "term").limit(MOST_TERMS).collect()
-    terms = {r["term"]: i for i, r in enumerate(chosen)}
-    idf = np.array([math.log((n + 1) / r["n"]) for r in chosen])
-    rows = sorted(examples.mapInArrow(_vectors(terms), "doc_id long, toxic long, terms array<long>, times array<long>").collect(), key=lambda r: (r["doc_id"], r["terms"], r["times"]))
-    bare = [r["toxic"] for r in rows if not r["terms"]]
-    rows = sorted((r for r in rows if r["terms"]), key=lambda r: (r["terms"], r["doc_id"]))  # like examples share a block, so bounds are tight
-    index = Index(terms, idf, np.array([r["doc_id"] for r in rows], np.int64), np.array([float(r["toxic"] > 0) for r in rows]), [], np.zeros((len(terms), -(-len(rows) // BLOCK))), bad / n, (sum(bare) + bad / n) / (len(bare) + 1))
-    for b in range(0, len(rows), BLOCK):
-        by: list[list] = [[] for _ in terms]
-        for i, r in enumerate(rows[b : b + BLOCK]):
-            t = np.array(r["terms"], np.int64)
-            for term, w in zip(r["terms"], index.vector(t, np.array(r["times"])).tolist(), strict=True):
-                by[term].append((i, w))
-        index.postings.append([(np.array([i for i, _ in p]), np.array([w for _, w in p])) if p else None for p in by])
-        index.bound[:, b // BLOCK] = [max((w for _, w in p), default=0.0) for p in by]
-    return index
+    coded = pc.list_flatten(rows["terms"]).combine_chunks().dictionary_encode()
+    text = np.repeat(np.arange(len(ids)), pc.list_value_length(rows["terms"]).to_numpy())
+    term, times = coded.indices.to_numpy().astype(np.int64), pc.list_flatten(rows["times"]).to_numpy()
+    return Index.of(coded.dictionary.cast(pa.large_string()), weights(text, term, toxic, len(coded.dictionary)), ids, toxic, text, term, times)
 
 
 def _scored(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index: Index | None = shared.value
-        for batch in slices(batches, most=8 << 20):
+        for batch in slices(batches):
             got = [(0.0, [])] * len(batch)
             if index is not None:
                 text, term, times, _ = term_counts(batch.column("text"), index.terms)
@@ -185,7 +196,7 @@ def _scored(shared):
 
 def toxicity(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """Rows (doc_id, held_out, score, predicted, evidence), one for each row of ``docs``."""
-    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, **options))  # bounded by MOST_EXAMPLES and MOST_TERMS
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, **options))  # the terms of MOST_EXAMPLES texts
     out = docs.select("doc_id", "text").mapInArrow(_scored(shared), "doc_id long, score double, evidence array<long>")
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
 
