@@ -352,32 +352,96 @@ def test_fingerprints(docs, texts):
     assert len(ordered) == 2
 
 
-def test_likeness_against_sets():
-    rnd = np.random.default_rng(5)
-    a, b = [np.unique(rnd.integers(0, 300, n).astype(np.uint64)) for n in (0, 5, 80, 200)], [np.unique(rnd.integers(0, 300, n).astype(np.uint64)) for n in (0, 5, 90, 3)]
-    flat = lambda x: (np.concatenate(x), np.repeat(np.arange(len(x)), [len(s) for s in x]))
-    got = fingerprints.likeness(flat(a), flat(b), 4)
-    for x, y, g in zip(a, b, got, strict=True):
-        assert g == pytest.approx(len(np.intersect1d(x, y)) / len(np.union1d(x, y)) if len(x) + len(y) else 1.0)
+def test_likeness_follows_from_written_fingerprints(spark, docs):
+    """near_edited and near_next are had from the returned strings alone, and equal what sets of digests give."""
+    import pyarrow as pa
+
+    rows = fingerprints.fingerprints(docs.where("doc_id is not null")).orderBy("doc_id", "n_chars").collect()
+    text = {r["doc_id"]: r["text"] or "" for r in docs.collect() if r["doc_id"] is not None}
+    sets = lambda t: set(fingerprints.digests(pa.array([t], pa.large_string()))[0].tolist())
+    for r, after in zip(rows, [*rows[1:], rows[0]], strict=True):
+        t, n = text[r["doc_id"]], text[after["doc_id"]]
+        edited = t[: len(t) - len(t) // 2] + n[: len(t) // 2]
+        for near, print_, other in ((r["near_edited"], r["edited_fingerprint"], edited), (r["near_next"], after["fingerprint"], n)):
+            a, b = sets(t), sets(other)
+            assert near == fingerprints.compared(r["fingerprint"], print_) == (len(a & b) / len(a | b) if a | b else 1.0)
+            assert [set(x.tolist()) for x in fingerprints.differing(r["fingerprint"], print_)] == [a - b, b - a]
+
+
+def test_fingerprints_of_long_texts_and_hot_ids(spark, monkeypatch):
+    """A text over the slices' size, and an id that holds most rows: ranges part it, and each row still meets its next."""
+    monkeypatch.setattr(fingerprints, "MANY", 20)
+    long = " ".join(f"w{i}" for i in range(400_000))
+    rows = [(None, f"text {i} " * 20) for i in range(300)] + [(None, "the same " * 9)] * 400 + [(1, long), (2, long + " x"), (3, "")]
+    got = fingerprints.fingerprints(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    by = {r["doc_id"]: r for r in got if r["doc_id"] is not None}
+    assert len(got) == len(rows) and by[1]["near_next"] > 0.999 and by[2]["near_next"] == 0
+    hashes = dict(spark.createDataFrame([(t,) for _, t in rows], "t string").selectExpr("t", "xxhash64(t) h").collect())
+    ordered = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, hashes[r[1]]))
+    want = Counter()
+    for (i, t), (_, n) in zip(ordered, [*ordered[1:], ordered[0]], strict=True):
+        want[i, hashlib.sha256((t[: len(t) - len(t) // 2] + n[: len(t) // 2]).encode()).hexdigest()] += 1
+    assert Counter((r["doc_id"], r["edited_sha256"]) for r in got) == want
+
+
+def test_hot_ids_are_parted(spark):
+    keys = spark.range(8000).selectExpr("CASE WHEN id % 4 = 0 THEN id ELSE -1 END AS o", "xxhash64(id) AS h", "id AS x")
+    bounds, again = fingerprints._bounds(keys.select("o", "h"), 16)
+    sizes = [r["count"] for r in keys.withColumn("p", fingerprints._place_of(bounds, again)).groupBy("p").count().collect()]
+    assert not again and len(sizes) >= 14 and max(sizes) <= 2 * sorted(sizes)[len(sizes) // 2]
 
 
 def test_nearest_against_plain():
     rnd = np.random.default_rng(6)
     n, terms = 700, 30
-    vectors = np.where(rnd.random((n, terms)) < 0.15, rnd.random((n, terms)), 0)
-    vectors = vectors[vectors.any(axis=1)]
-    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
-    b = toxicity.BLOCK
-    index = toxicity.Index({str(i): i for i in range(terms)}, np.ones(terms), np.arange(len(vectors)), np.zeros(len(vectors)), [], np.stack([vectors[i : i + b].max(axis=0) for i in range(0, len(vectors), b)], axis=1), 0.1, 0.1)
-    index.postings = [[(np.flatnonzero(p[:, t]), p[p[:, t] > 0, t]) if p[:, t].any() else None for t in range(terms)] for p in (vectors[i : i + b] for i in range(0, len(vectors), b))]
-    for _ in range(20):
+    times = np.where(rnd.random((n, terms)) < 0.15, rnd.integers(1, 5, (n, terms)), 0)
+    weight = rnd.random(terms) + 0.1
+    vectors = np.where(times > 0, (1 + np.log(np.maximum(times, 1))) * weight, 0)
+    vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
+    text, term = np.nonzero(times)
+    index = toxicity.Index.of(range(terms), weight, np.arange(n) * 3, np.zeros(n), text, term, times[text, term])
+    for _ in range(30):
         t = np.sort(rnd.choice(terms, 4, replace=False))
         q = rnd.random(4)
         q /= np.linalg.norm(q)
         at, c = index.nearest(t, q, 10)
         every = np.round(vectors[:, t] @ q, 9)
-        least = np.sort(every)[-10]
-        assert set(at.tolist()) == set(np.flatnonzero((every >= max(least, 1e-12))).tolist()) and c[0] == every.max()
+        least = max(np.sort(every)[-10], 1e-12)
+        assert sorted(index.ids[at].tolist()) == (np.flatnonzero(every >= least) * 3).tolist() and np.allclose(c, np.sort(every[every >= least])[::-1])
+
+
+def test_toxicity_against_plain(spark, docs, labels, texts):
+    """Scores and evidence from whole texts by a plain cosine over all terms; repeated rows of a labelled id count once."""
+    import math
+
+    bag = lambda t: Counter(w for w in ("".join(c.lower() for c in w).strip(toxicity.MARKS) for w in re.split(r"[ \t\n\r\f\v]+", t or "")) if w)
+    label = {}
+    for r in labels.where("doc_id is not null and toxic is not null").collect():
+        label[r["doc_id"]] = max(label.get(r["doc_id"], 0), r["toxic"])
+    some = {i: bag(texts[i]) for i in label if i < len(texts) and zlib.crc32(str(i).encode()) % 5}
+    n, bad = len(some), sum(label[i] for i in some)
+    weight = {}
+    for w in {w for b in some.values() for w in b}:
+        has, among = sum(w in b for b in some.values()), sum(w in b for i, b in some.items() if label[i])
+        p = (has + 1) / (n + 2)
+        z = ((among + 0.5) / (bad + 1) - (has - among + 0.5) / (n - bad + 1)) / math.sqrt(p * (1 - p) * (1 / bad + 1 / (n - bad)))
+        weight[w] = math.log((n + 1) / has) * (1 + z * z)
+
+    def vector(b):
+        v = {w: (1 + math.log(k)) * weight[w] for w, k in b.items() if w in weight}
+        norm = math.sqrt(sum(x * x for x in v.values())) or 1
+        return {w: x / norm for w, x in v.items()}
+
+    vectors = {i: vector(b) for i, b in some.items()}
+    for r in toxicity.toxicity(docs, labels).collect():
+        if r["doc_id"] is None:
+            continue
+        q = vector(bag(texts[r["doc_id"]]))
+        cosines = {i: round(sum(x * v.get(w, 0) for w, x in q.items()), 9) for i, v in vectors.items()}
+        near = {i: c for i, c in cosines.items() if c > 0 and c >= sorted(cosines.values())[-min(toxicity.NEAREST, n)]}
+        votes = [(1 / (1.05 - min(c, 1)), label[i]) for i, c in near.items()]
+        assert r["score"] == pytest.approx((sum(w * y for w, y in votes) + bad / n) / (sum(w for w, _ in votes) + 1) if votes else bad / n)
+        assert set(r["evidence"]) <= near.keys()
 
 
 def test_toxicity_held_out(spark):
