@@ -1,27 +1,28 @@
-"""A corpus from raw documents to packed sequences: each stage works on all that its predecessor kept."""
+"""A corpus from raw documents to packed sequences: each stage works on all that its predecessor kept.
+
+An empty table stays empty through all stages; other columns pass through, all but the last stage return those of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from keyline.llm.common import documents, staged
 from keyline.llm.mixing import mixed
-from keyline.llm.near_dedup import near_duplicates
+from keyline.llm.near_dedup import one_of_each
 from keyline.llm.packing import pack
 from keyline.llm.pii import pseudonyms
 from keyline.llm.quality import quality_rules
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that neither the base rules nor the learned list reject."""
+    """Documents that neither the base rules nor the learned list reject; null and empty texts fail the base rules."""
     return quality_rules(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).where("_kl_kept").select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group at a similarity of 0.8 or more on five-word shingles; rows of a null doc_id stay."""
-    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kl_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kl_id")), "left_semi")
+    """One row of each group at a similarity of 0.8 or more on five-word shingles, equal rows and null doc_ids included."""
+    return one_of_each(docs)
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,12 +31,12 @@ def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its source's target asks."""
+    """Each document as often as its source's target asks; null sources form one source."""
     return mixed(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents and their places in sequences."""
+    """Pieces of all documents and their places in sequences; a null text is one piece of the closing id alone."""
     return pack(docs)
 
 
