@@ -1,7 +1,7 @@
 """Quality rules: learned decision lists over text statistics, written out as ordered Spark conditional expressions.
 
 Defined cases: a null or empty text has no words and fails the base rules; a null label is ignored; contradictory labels
-of one document count as bad; without usable labels the list is empty and only the base rules decide. Extra columns of the
+of one document count as bad; of several rows of a labelled doc_id the least text is learned from; without usable labels the list is empty and only the base rules decide. Extra columns of the
 input pass through unread: internal names start with ``_kl_``.
 """
 
@@ -166,9 +166,9 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, **options)
         labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("_kl_q"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
     )
-    joined = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")
+    met = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")
+    joined = met.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("_kl_q").alias("_kl_q"))  # one row an id, so most_rows at most
     names = list(FEATURES)
-    # at most most_rows rows; those that fail the base rules go here, as Spark would move that filter before the join and count all texts
     got = with_statistics(joined).select(base_failed().alias("_kl_failed"), "doc_id", "_kl_q", *(feature(f).alias(f) for f in names)).collect()
     rows = sorted(tuple(r)[1:] for r in got if not r["_kl_failed"])
     if not rows:
