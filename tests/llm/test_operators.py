@@ -227,6 +227,20 @@ def test_mixing_of_repeated_ids(spark):
     assert n["two words"] == 2
 
 
+def test_mixing_meets_targets_with_null_and_repeated_ids(spark):
+    """Whatever the ids: what is taken of a source misses its target by half a document at most."""
+    rows = [(None, f"w{i} " * (1 + i % 13), "a") for i in range(1500)] + [(7, "equal row " * 3, "b")] * 1500 + [(i, "x " * (i % 9), "c") for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    sizes = df.selectExpr("source", "regexp_count(text, '[^ ]+') AS size")
+    goal = {r["source"]: r["target"] for r in mixing.targets(sizes.groupBy("source").agg({"size": "sum"}).toDF("source", "source_size")).collect()}
+    got, once = Counter(), Counter()
+    for r in mixing.mixed(df).collect():
+        got[r["source"]] += len(r["text"].split())
+        once[r["source"], r["doc_id"], r["text"]] += 1
+    have = Counter((s, i, t) for i, t, s in rows)
+    assert all(abs(got[s] - goal[s]) <= 7 for s in "abc") and all(n <= 2 * have[k] for k, n in once.items())
+
+
 def test_token_counts(docs, texts):
     pieces = set(token_counts.pieces_of(token_counts.default_vocabulary()))
 
@@ -293,6 +307,20 @@ def test_quality_counts(docs, labels, texts):
         assert r["_kl_failed"] == (len(w) < 50 or 100 * len(again) > 50 * len(w))
 
 
+def test_verdict_is_the_learned_list(spark, docs, labels):
+    """The expression's verdict and the learned conditions, met by hand, agree; repeated rows of a labelled id count once."""
+    rules = [[quality.Condition("symbols_per_word", True, 0.1)], [quality.Condition("chars_per_word", False, 4.0), quality.Condition("repeated_share", True, 0.2)]]
+    names = list(quality.FEATURES)
+    got = quality.with_statistics(docs).select(quality.verdict(rules).alias("kept"), *(quality.feature(f).alias(f) for f in names)).collect()
+    for r in got:
+        x = np.array([[r[f] for f in names]])
+        assert r["kept"] == (not any(quality.covers(rule, x, names)[0] for rule in rules))
+    sf = "/root/testdata/sf0.01"
+    known, some = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    one = known.join(some, "doc_id").limit(1).select(*known.columns)
+    assert quality.fit(known, some) == quality.fit(known.unionByName(one).unionByName(one), some)
+
+
 def test_decision_list_finds_thresholds():
     rnd = np.random.default_rng(3)
     x = rnd.random((600, 3))
