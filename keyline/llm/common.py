@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 #: Bits of the Bloom bitmap that keeps texts which cannot matter out of a shuffle; its size never follows the data.
 BITMAP_BITS = 1 << 23
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _staged: dict[str, SparkSession] = {}
 _own: dict[str, str] = {}
 
@@ -39,11 +40,17 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends here and every executor can reread it."""
+    """Write ``df`` to the shared folder and read it back: lineage ends here and every executor can reread it. So the
+    shuffle files behind it go as soon as it is written."""
     spark = df.sparkSession
     path = os.path.join(shared_dir(spark), f"keyline-{name}-{uuid.uuid4().hex}")
     schema = df.schema
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    try:
+        spark.conf.set(_CLEANUP, "true")
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before) if before is not None else spark.conf.unset(_CLEANUP)
     if not _staged:
         atexit.register(_clean)
     _staged[path] = spark
@@ -256,10 +263,10 @@ def dealt(df: DataFrame, key: str, fn, schema: str) -> DataFrame:
 
 def split_by(part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """(part, indices in order) of each part that occurs."""
-    order = np.argsort(part, kind="stable")
-    ordered = part[order]
     if not len(part):
         return
+    order = np.argsort(part.astype(np.uint16) if int(part.max()) < 1 << 16 else part, kind="stable")  # short ones by radix
+    ordered = part[order]
     at = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
     for a, b in zip(at.tolist(), [*at[1:].tolist(), len(part)], strict=True):
         yield int(ordered[a]), order[a:b]
