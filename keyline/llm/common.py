@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import tempfile
 import uuid
@@ -93,8 +94,18 @@ _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
+def released() -> None:
+    """Give free memory back to the system: a Python worker stays for the next stage, and should not hold this one's."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        return
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in pieces of at most ``most`` bytes of text each; a longer text stands alone."""
+    released()
     for batch in batches:
         size = np.cumsum(pc.binary_length(batch.column(column).fill_null("")).to_numpy(zero_copy_only=False).astype(np.int64))
         at = 0
@@ -103,6 +114,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
             to = max(at + 1, int(np.searchsorted(size, before + most, "right")))
             yield batch.slice(at, to - at)
             at = to
+    released()
 
 
 def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -256,7 +268,11 @@ def dealt(df: DataFrame, key: str, fn, schema: str) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = [f for f in frames if len(f)]
         if held:
-            yield fn(pd.concat(held, ignore_index=True))
+            made = pd.concat(held, ignore_index=True)
+            del held
+            yield fn(made)
+            del made
+        released()
 
     return df.repartitionById(partitions(df.sparkSession), F.col(key)).mapInPandas(run, schema)
 

@@ -151,7 +151,7 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task
 def _pieces(path: str, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, seen = TaskContext.get().partitionId(), np.zeros(size + 1, np.int64)
-        for batch in slices(batches, most=12 << 20):
+        for batch in slices(batches, most=6 << 20):
             ids, bounds = encode(batch.column("text"), path)
             total = np.diff(bounds)
             n = np.maximum(1, -(-total // size))
