@@ -42,6 +42,11 @@ def loaded(frame_idx: Column, n: Column, most: int) -> Column:
     return F.when(F.size(frame_idx) < most, linspace(n, most).cast("array<long>")).otherwise(F.array_sort(F.slice(frame_idx, 1, most)))
 
 
+def loaded_or_own(frame_idx: Column, most: int) -> Column:
+    """The first ``most`` selected frames in order, or null if there are fewer: the model's loader then samples by itself."""
+    return F.when(F.size(frame_idx) >= most, F.array_sort(F.slice(frame_idx, 1, most)))
+
+
 def fixed_stride(total: Column, duration: Column, most: int = 16) -> Column:
     """At most one frame a second, ``total / num`` apart, floored before it is multiplied."""
     num = F.least(F.lit(most), duration.cast("int"))
@@ -97,11 +102,14 @@ def choice(answer: Column, letters: str) -> Column:
 
     An answer without any gives null, where guessing would make reruns disagree.
     """
-    s = answer
+    stripped = answer
     for c in ",.!?;:'":
-        s = F.regexp_replace(s, rf"^[{c}]+|[{c}]+$", "")
-    s = F.concat(F.lit(" "), s, F.lit(" "))
+        stripped = F.regexp_replace(stripped, rf"^[{c}]+|[{c}]+$", "")
+    bound = F.array(F.concat(F.lit(" "), stripped, F.lit(" ")))
+    return F.transform(bound, lambda s: _letter_of(s, letters))[0]  # stripped once, not at each use
+
 
+def _letter_of(s: Column, letters: str) -> Column:
     def of(pattern: str, order: str) -> tuple[Column, Column]:
         found = [F.contains(s, F.lit(pattern.format(c))) for c in letters]
         places = F.array_compact(F.array(*(F.when(f, F.struct(_last_index(s, order.format(c)).alias("at"), F.lit(-i).alias("i"), F.lit(c).alias("c"))) for i, (f, c) in enumerate(zip(found, letters, strict=True)))))

@@ -32,12 +32,14 @@ def shared_budget(seq: DataFrame, m: int) -> DataFrame:
 
 
 def refilled(seq: DataFrame, taken: DataFrame, m: int) -> DataFrame:
-    """(video_id, frame_id) of what fills ``taken`` (video_id, frame_id) up to m: unused frames at even steps, in order of time."""
+    """(video_id, frame_id) of what fills ``taken`` (video_id, frame_id) up to m: of the unused frames, in order of time, those
+    at the whole part of each multiple of their number over what is needed; all if no more are there."""
     used = taken.groupBy("video_id").agg(F.count(F.lit(1)).alias("k"))
     free = seq.join(taken, ["video_id", "frame_id"], "left_anti").join(used, "video_id", "left").withColumn("need", F.lit(m) - F.coalesce("k", F.lit(0)))
     rows = free.withColumns({"i": F.row_number().over(by_video().orderBy("frame_id")) - 1, "c": F.count(F.lit(1)).over(by_video())}).where("need > 0")
-    step = F.greatest(F.lit(1), F.floor(F.col("c") / F.col("need")))
-    return rows.where((F.col("i") % step == 0) & (F.floor(F.col("i") / step) < F.col("need"))).select("video_id", "frame_id")
+    step = F.greatest(F.lit(1.0), F.col("c") / F.col("need"))
+    places = F.transform(F.sequence(F.lit(0), F.col("need").cast("int") - 1), lambda j: F.floor(j * step).cast("int"))
+    return rows.where(F.array_contains(places, F.col("i").cast("int"))).select("video_id", "frame_id")
 
 
 def folder_images(files: DataFrame, m: int = 10) -> DataFrame:

@@ -98,6 +98,97 @@ def gold_match(pred: Column, gold: Column) -> Column:
     return F.array_contains(gold, pred)
 
 
+def any_match(pred: Column, gold: Column, score=lambda p, g: p == g) -> Column:
+    """1.0 if ``score`` holds for any of the gold answers, else 0.0; a null answer matches nothing."""
+    return F.coalesce(F.exists(gold, lambda g: score(pred, g)), F.lit(False)).cast("double")
+
+
+#: Stands for a gold choice that isn't among the choices.
+NO_CHOICE = -100
+
+
+def gold_choice(gold: Column, n: Column) -> Column:
+    """The gold choice's number from 0, or NO_CHOICE if there are no more than that many."""
+    return F.when(gold < n, gold).otherwise(NO_CHOICE)
+
+
+def choice_pairs(lls: DataFrame) -> DataFrame:
+    """(doc_id, gold, pred, exact_match) from (doc_id, idx, ll, is_greedy, gold): the pairs that f1 and mcc are made of, and
+    whether the gold choice is what greedy decoding gives; 0 for a gold choice that isn't there."""
+    rows = lls.withColumn("i", -F.col("idx")).groupBy("doc_id").agg(
+        F.max_by("idx", F.struct("ll", "i")).alias("pred"), F.first("gold").alias("gold"), F.count(F.lit(1)).alias("n"),
+        F.collect_set(F.when(F.col("is_greedy"), F.col("idx"))).alias("greedy"),
+    )
+    gold = gold_choice(F.col("gold"), F.col("n"))
+    return rows.select("doc_id", gold.cast("int").alias("gold"), F.col("pred").cast("int").alias("pred"), F.array_contains("greedy", F.col("gold")).cast("int").alias("exact_match"))
+
+
+def pair_metrics(pairs: DataFrame) -> DataFrame:
+    """(f1, mcc) of the pairs (gold, pred), 1 being the positive class; 0 where a denominator is."""
+    n = lambda g, p: F.count_if((F.col("gold") == g) & (F.col("pred") == p)).cast("double")
+    c = pairs.agg(n(1, 1).alias("tp"), n(0, 0).alias("tn"), n(0, 1).alias("fp"), n(1, 0).alias("fn"))
+    tp, tn, fp, fn = (F.col(x) for x in ("tp", "tn", "fp", "fn"))
+    over = lambda a, b: F.when(b > 0, a / F.when(b > 0, b)).otherwise(0.0)
+    return c.select(over(2 * tp, 2 * tp + fp + fn).alias("f1"), over(tp * tn - fp * fn, F.sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn))).alias("mcc"))
+
+
+def bootstrap_error(samples: DataFrame, key: str, value: str, times: int = 100, seed: int = 1234) -> DataFrame:
+    """The standard error of the mean by key, from ``times`` resamples: each sample counts in each of them as often as a
+    Poisson draw of mean 1, made from a hash of its number, says; so samples stay where they are."""
+    draw = lambda b: (F.pmod(F.xxhash64(F.lit(seed), "doc_id", b), F.lit(1 << 32)).cast("double") + 0.5) / (1 << 32)
+    cuts, p, total = [], 2.718281828459045**-1, 0.0
+    for k in range(1, 12):
+        total += p
+        cuts.append(total)
+        p /= k
+    weight = lambda b: sum(((draw(b) > c).cast("int") for c in cuts), F.lit(0))
+    rows = samples.select(key, F.col(value).cast("double").alias("x"), F.explode(F.transform(F.sequence(F.lit(0), F.lit(times - 1)), lambda b: F.struct(b.alias("b"), weight(b).alias("w")))).alias("r"))
+    means = rows.groupBy(key, "r.b").agg((F.sum(F.col("x") * F.col("r.w")) / F.when(F.sum("r.w") > 0, F.sum("r.w"))).alias("mean"))
+    return means.groupBy(key).agg(F.stddev_samp("mean").alias("stderr"))
+
+
+def seeded_accuracy(samples: DataFrame, cells: DataFrame, axes: list[str], parts: list[str]) -> DataFrame:
+    """(part, n, correct, accuracy) of each part of a label: every cell of ``cells`` counts, with none where it has no sample,
+    and belongs to a part if its labels, joined by underscores, hold it anywhere; percent, 0 if empty."""
+    counted = samples.groupBy(*axes).agg(F.count(F.lit(1)).alias("n"), F.sum("correct").alias("c"))
+    full = cells.join(counted, axes, "left").withColumn("cell", F.concat_ws("_", *axes))
+    met = full.select("cell", "n", "c", F.explode(F.filter(F.array(*map(F.lit, parts)), lambda p: F.contains(F.col("cell"), p))).alias("part"))
+    sums = met.groupBy("part").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("c"), F.lit(0)).cast("long").alias("correct"))
+    return sums.select("part", "n", "correct", F.when(F.col("n") > 0, F.col("correct") * 100.0 / F.greatest("n", F.lit(1))).otherwise(0.0).alias("accuracy"))
+
+
+#: Metrics by name, each a column of (pred, gold).
+METRICS = {"acc": lambda p, g: (p == g).cast("double"), "exact_match": lambda p, g: (F.trim(p) == F.trim(g)).cast("double"), "any_match": any_match}
+
+
+def measured(rows: DataFrame, names: list[str]) -> DataFrame:
+    """``rows`` (pred, gold) with a column for each named metric; an unknown name is an error."""
+    unknown = [n for n in names if n not in METRICS]
+    if unknown:
+        raise ValueError(f"no such metric: {', '.join(unknown)}")
+    return rows.withColumns({n: METRICS[n](F.col("pred"), F.col("gold")) for n in names})
+
+
+def processed(docs: DataFrame, process=None) -> DataFrame:
+    """``docs`` through an optional filter of the task's own."""
+    return docs.transform(process) if process is not None else docs
+
+
+def by_rank(responses: DataFrame, world_size: int) -> DataFrame:
+    """``responses`` (doc_id, ...) with their place once each rank's documents, every world_size-th, are put after the other
+    rank's: the order in which ranks are gathered."""
+    rank = F.pmod(F.col("doc_id"), F.lit(world_size))
+    counts = responses.groupBy(rank.alias("rank")).agg(F.count(F.lit(1)).alias("n"))
+    before = counts.select("rank", (F.sum("n").over(Window.orderBy("rank")) - F.col("n")).alias("before"))  # world_size rows
+    within = F.row_number().over(Window.partitionBy("rank").orderBy("doc_id")) - 1
+    return responses.withColumn("rank", rank).join(F.broadcast(before), "rank").withColumn("place", F.col("before") + within).drop("before")
+
+
+def request_key(task: Column, shots: Column, rank: Column, world_size: Column, prompt: Column) -> Column:
+    """The key under which built requests are kept: what they depend on, the prompt by its hash."""
+    return F.concat_ws("-", F.lit("requests"), task, F.concat(shots.cast("string"), F.lit("shot")), F.concat(F.lit("rank"), rank.cast("string")), F.concat(F.lit("world_size"), world_size.cast("string")), F.sha2(prompt, 256))
+
+
 def choice_metrics(lls: DataFrame) -> DataFrame:
     """(doc_id, acc, acc_norm, acc_mutual_info) from (doc_id, idx, ll, ll_uncond, length, gold); of equals the lower choice."""
     best = lambda by: F.max_by("idx", F.struct(by.alias("x"), (-F.col("idx")).alias("i")))
@@ -130,4 +221,8 @@ def few_shot(docs: DataFrame, current: Column, k: int, seed: int = 1234) -> Data
 
 def by_length(rows: DataFrame, text: str = "text") -> DataFrame:
     """A place for each row, longest text first, equal ones by text and id: the order in which batches are run."""
-    return rows.withColumn("place", F.row_number().over(Window.orderBy(F.length(text).desc(), text, "doc_id")))
+    size = F.coalesce(F.length(text), F.lit(-1))
+    counts = rows.groupBy(size.alias("_size")).agg(F.count(F.lit(1)).alias("_n"))  # as many rows as lengths
+    before = counts.withColumn("_before", F.sum("_n").over(Window.orderBy(F.col("_size").desc())) - F.col("_n")).drop("_n")
+    within = F.row_number().over(Window.partitionBy("_size").orderBy(text, "doc_id"))
+    return rows.withColumn("_size", size).join(before, "_size").withColumn("place", F.col("_before") + within).drop("_size", "_before")

@@ -58,7 +58,7 @@ ORACLES = {
     "q6_stops": f"WITH {SEQ}, r AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY s DESC, pos) AS rank FROM norm), g AS (SELECT video_id, count(*) AS n, avg(CASE WHEN rank <= 8 THEN s END) - avg(s) AS gap FROM r GROUP BY video_id) SELECT video_id, n, round(gap, 9) AS gap, n <= 8 OR gap >= 0.5 AS stops FROM g",
     "q7_halves": f"WITH {_HALF} SELECT video_id, count(*) FILTER (lft) AS n_left, count(*) FILTER (NOT lft) AS n_right FROM h GROUP BY video_id",
     "q8_budget": f"WITH {_HALF}, b AS (SELECT video_id, {_MASS.format('lft')} AS l, {_MASS.format('NOT lft')} AS r FROM h GROUP BY video_id), x AS (SELECT video_id, CAST(round_even(16 * l / (l + r), 0) AS INT) AS m_left FROM b) SELECT video_id, m_left, CAST(16 - m_left AS INT) AS m_right FROM x",
-    "q10_refilled": f"WITH {SEQ}, r AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY score DESC, pos) AS rank FROM fr), a AS (SELECT video_id, frame_id, row_number() OVER (PARTITION BY video_id ORDER BY frame_id) - 1 AS i, count(*) OVER (PARTITION BY video_id) AS c, 12 - least(4, n) AS need FROM r WHERE rank > 4) SELECT video_id, frame_id FROM a WHERE i % greatest(1, c // need) = 0 AND i // greatest(1, c // need) < need",
+    "q10_refilled": f"WITH {SEQ}, r AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY score DESC, pos) AS rank FROM fr), a AS (SELECT video_id, frame_id, row_number() OVER (PARTITION BY video_id ORDER BY frame_id) - 1 AS i, count(*) OVER (PARTITION BY video_id) AS c, 12 - least(4, n) AS need FROM r WHERE rank > 4) SELECT video_id, frame_id FROM a WHERE need > 0 AND list_contains(list_transform(range(0, need), lambda j: CAST(floor(j * greatest(1.0::DOUBLE, c / need::DOUBLE)) AS BIGINT)), i)",
     "f2_f3_subtitle_frames": f"SELECT p_partkey AS line_id, {_CLOCK} AS start_s, CAST(trunc(({_CLOCK}) * 29.97::DOUBLE) AS INT) AS frame FROM part",
     "f12_results": "SELECT CAST(p_partkey AS VARCHAR) AS question_id, CASE WHEN p_size < 15 THEN 'short' WHEN p_size < 30 THEN 'medium' ELSE 'long' END AS duration, p_brand AS category, p_type AS sub_category, 'OCR' AS task_category, substr('ABCD', CAST(p_partkey % 4 + 1 AS INT), 1) AS pred_answer, 'B' AS answer FROM part",
     "s9_folder_images": "WITH f AS (SELECT p_brand AS folder, 'f' || p_partkey || '.jpg' AS path, p_partkey % 9 <> 0 AS readable, row_number() OVER (PARTITION BY p_brand ORDER BY 'f' || p_partkey || '.jpg') - 1 AS i, count(*) OVER (PARTITION BY p_brand) AS n FROM part) SELECT folder, CAST(k AS INT) AS nth, path FROM f, range(0, 10) t(k) WHERE readable AND i = CASE WHEN k = 9 THEN n - 1 ELSE CAST(floor(k * ((n - 1)::DOUBLE / 9.0::DOUBLE)) AS BIGINT) END",

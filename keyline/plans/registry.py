@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from keyline.plans import harness, parts, relational, selection
+from keyline.plans import files, harness, parts, relational, selection
 
-QUERIES = selection.QUERIES | relational.QUERIES | harness.QUERIES | parts.QUERIES
-ORACLES = selection.ORACLES | relational.ORACLES | harness.ORACLES | parts.ORACLES
+QUERIES = selection.QUERIES | relational.QUERIES | harness.QUERIES | parts.QUERIES | files.QUERIES
+ORACLES = selection.ORACLES | relational.ORACLES | harness.ORACLES | parts.ORACLES | files.ORACLES

@@ -86,8 +86,29 @@ def _soft(method, mask):
     return lambda k, d: S.soft_suppressed(seq(k, d), m=8, method=method, mask_selected=mask)
 
 
-def _argmax_only(edges: str = "score_diff") -> str:
-    return _diff(edges) + " SELECT video_id, CAST(r AS INT) AS rank, CAST(CASE WHEN n <= 8 THEN r ELSE list_position(d, list_max(d)) - 1 END AS BIGINT) * 30 AS frame_id FROM (SELECT *, unnest(range(0, least(n, 8))) AS r FROM dd)"
+_LOSES = {
+    "gaussian_soft": "CASE WHEN x > 0 AND j <> i + 1 THEN x * exp(-0.5::DOUBLE * sim[j]) ELSE x END",
+    "mmr": "CASE WHEN x > 0 THEN 0.7::DOUBLE * x - (1 - 0.7::DOUBLE) * near[j] ELSE 0 END",
+    "temporal_gaussian": "CASE WHEN x > 0 AND j <> i + 1 THEN x * exp(-pow((j - 1 - i) * 30 / 5.0::DOUBLE, 2)) ELSE x END",
+    "dpp_multiplicative": "CASE WHEN x > 0 THEN x * rest[j] ELSE x END",
+    "power_law": "CASE WHEN x > 0 AND j <> i + 1 THEN x / pow(1 + sim[j], 2) ELSE x END",
+}
+
+
+def _softly(method: str, mask: bool, m: int = 8) -> str:
+    """One recursion a frame taken: the best of what is left, then what each other frame loses by the rule."""
+    taken = "list_contains(got, j - 1)" if mask else "false"
+    return (
+        _diff("score_diff")
+        + f", st AS (SELECT video_id, n, d, d AS lft, CAST([] AS BIGINT[]) AS got, list_transform(d, lambda x: 0.0::DOUBLE) AS near, list_transform(d, lambda x: 1.0::DOUBLE) AS rest, 0 AS it FROM dd WHERE n > {m} UNION ALL "
+        f"SELECT video_id, n, d, list_transform(lft, lambda x, j: {_LOSES[method]}), list_append(got, i), near, rest, it + 1 FROM ("
+        "SELECT video_id, n, d, lft, got, i, sim, it, list_transform(near, lambda x, j: greatest(x, sim[j])) AS near, list_transform(rest, lambda x, j: CASE WHEN j = i + 1 THEN x ELSE x * (1 - sim[j]) END) AS rest FROM ("
+        "SELECT *, list_transform(d, lambda x, j: CASE WHEN j = i + 1 THEN 0.0::DOUBLE ELSE exp(-abs(x - d[i + 1]) / 0.1::DOUBLE) END) AS sim FROM ("
+        f"SELECT *, list_position(free, list_max(free)) - 1 AS i FROM (SELECT *, list_transform(lft, lambda x, j: CASE WHEN {taken} THEN '-inf'::DOUBLE ELSE x END) AS free FROM st WHERE it < {m}) WHERE list_max(free) > 0)))), "
+        "fin AS (SELECT video_id, n, got FROM st QUALIFY row_number() OVER (PARTITION BY video_id ORDER BY it DESC) = 1 UNION ALL "
+        f"SELECT video_id, n, range(0, n) FROM dd WHERE n <= {m}) "
+        "SELECT video_id, CAST(unnest(range(0, len(got))) AS INT) AS rank, CAST(unnest(list_sort(got)) AS BIGINT) * 30 AS frame_id FROM fin"
+    )
 
 
 QUERIES = {
@@ -121,6 +142,10 @@ QUERIES = {
     "d11_dpp": _soft("dpp_multiplicative", False),
     "d12_power_law": _soft("power_law", False),
     "d7_power_law_masked": _soft("power_law", True),
+    "d8_gaussian_masked": _soft("gaussian_soft", True),
+    "d9_mmr_masked": _soft("mmr", True),
+    "d10_temporal_masked": _soft("temporal_gaussian", True),
+    "d11_dpp_masked": _soft("dpp_multiplicative", True),
     "p1_seeds": lambda k, d: _rounded(S.seeds(seq(k, d)).select("video_id", "pos", "s"), "s"),
     "p2_seeds_tolerant": lambda k, d: _rounded(S.seeds(seq(k, d), window=8, tolerance=1e-6).select("video_id", "pos", "s"), "s"),
     "p3_ripples": lambda k, d: S.ripples(seq(k, d)),
@@ -163,7 +188,7 @@ ORACLES = {
     **{f"d{i}_diffused_{n}": _diff(e) + " SELECT video_id, CAST(unnest(range(0, n)) AS INT) AS pos, round(unnest(d), 9) AS d FROM dd" for i, n, e in ((1, "uniform", "uniform"), (2, "score", "score_diff"), (3, "temporal", "temporal"))},
     "d6_hard_suppressed": _diff("score_diff") + _greedy("dd", "d", 16, "<= 3") + _picked(16),
     "d15_thresholded": _diff("score_diff") + _greedy("dd", "d", 20, "<= 3", where="x >= list_avg(list_slice(list_reverse_sort(all_), 1, 16)) / 2") + _picked(20),
-    **{k: _argmax_only() for k in ("d8_gaussian", "d10_temporal", "d11_dpp", "d12_power_law")},
+    **{k: _softly(method, k.endswith("masked")) for k, method in (("d7_power_law_masked", "power_law"), ("d8_gaussian", "gaussian_soft"), ("d8_gaussian_masked", "gaussian_soft"), ("d9_mmr", "mmr"), ("d9_mmr_masked", "mmr"), ("d10_temporal", "temporal_gaussian"), ("d10_temporal_masked", "temporal_gaussian"), ("d11_dpp", "dpp_multiplicative"), ("d11_dpp_masked", "dpp_multiplicative"), ("d12_power_law", "power_law"))},
     "p1_seeds": "WITH " + _SEEDS.format(w=5) + " SELECT video_id, pos, round(s, 9) AS s FROM sd WHERE s >= 0.3 AND s >= peak_here",
     "p2_seeds_tolerant": "WITH " + _SEEDS.format(w=8) + " SELECT video_id, pos, round(s, 9) AS s FROM sd WHERE s >= 0.3 AND s >= peak_here - 1e-6",
     "q1_shots": f"WITH {_SHOTS} SELECT video_id, pos, shot FROM sh",

@@ -20,6 +20,11 @@ def write_grid(selected: DataFrame, path: str, parameters: list[str]) -> None:
     selected.write.partitionBy(*parameters).parquet(path)
 
 
+def write_sequences(seq: DataFrame, path: str) -> None:
+    """Scores, frames and whatever else the sequences hold, in long form."""
+    seq.write.mode("errorifexists").parquet(path)
+
+
 def annotated(labels: DataFrame, selected: DataFrame, frame_num: int, use_topk: bool) -> DataFrame:
     """Labels with frame_idx, frame_num and use_topk; a label without a selection is an error. Write it as a new version."""
     met = labels.join(frames_by_video(selected), "video_id", "left")

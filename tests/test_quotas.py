@@ -30,8 +30,11 @@ def test_refill(spark):
     seq = made(spark, range(10), range(3)).select("video_id", "frame_id")
     taken = spark.createDataFrame([(0, 0), (0, 30)], "video_id long, frame_id long")
     got = sorted((r["video_id"], r["frame_id"]) for r in P.refilled(seq, taken, 5).collect())
-    assert got == [(0, 60), (0, 120), (0, 180), (1, 0), (1, 30), (1, 60)]
+    assert got == [(0, 60), (0, 120), (0, 210), (1, 0), (1, 30), (1, 60)]
     assert P.refilled(seq, taken, 2).where("video_id = 0").count() == 0
+    long = made(spark, range(62)).select("video_id", "frame_id")
+    none = taken.where("false")
+    assert sorted(r["frame_id"] // 30 for r in P.refilled(long, none, 8).collect()) == [0, 7, 15, 23, 31, 38, 46, 54]
 
 
 def test_folder_images(spark):
