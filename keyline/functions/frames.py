@@ -69,6 +69,7 @@ def subtitle_prompt(lines: Column, question: Column, options: Column) -> Column:
 
 
 def time_instruction(video_time: Column, frames: Column, times: Column) -> Column:
+    # a fixed value: the sentence that models are asked with
     return F.format_string("The video lasts for %.2f seconds, and %d frames are uniformly sampled from it. These frames are located at %s.Please answer the following questions related to this video.", video_time, frames, times)
 
 
@@ -155,6 +156,51 @@ def tiles(width: Column, height: Column, patch: int, stride: int | None = None)
     return F.flatten(F.transform(ys, lambda j: F.transform(xs, lambda i: F.struct((i * step).alias("x"), (j * step).alias("y")))))
 
 
+def cropped(width: Column, height: Column, edge: int) -> Column:
+    """Size of an image whose shorter side is scaled to ``edge``, the other rounded down, and the corner of its middle square."""
+    ratio = width.cast("double") / height
+    w = F.when(ratio > 1, F.floor(edge * ratio)).otherwise(edge).cast("int")
+    h = F.when(ratio > 1, F.lit(edge)).otherwise(F.floor(edge / ratio)).cast("int")
+    return F.struct(w.alias("w"), h.alias("h"), ((w - edge) / 2).alias("left"), ((h - edge) / 2).alias("top"))
+
+
+def padded(width: Column, height: Column, sides: list[int]) -> Column:
+    """Target of an image among all pairs of ``sides``, its size in there and the margins left of and above it.
+
+    Of the pairs whose shape is nearest the image's (to 0.001) the one whose longer side is; of equals the first, widths in
+    the given order and heights within.
+    """
+    ratio, longer = width.cast("double") / height, F.greatest(width, height).cast("double")
+    pairs = [(w, h) for w in sides for h in sides]
+    near = F.array_min(F.array(*(F.struct(F.abs(ratio - w / h).alias("d"), F.lit(k).alias("k"), F.lit(w / h).alias("r")) for k, (w, h) in enumerate(pairs))))["r"]
+    like = [F.when(F.abs(F.lit(w / h) - near) < 1e-3, F.struct(F.abs(longer / max(w, h) - 1).alias("d"), F.lit(k).alias("k"), F.lit(w).alias("tw"), F.lit(h).alias("th"))) for k, (w, h) in enumerate(pairs)]
+    best = F.array_min(F.array_compact(F.array(*like)))
+    w = F.when(width > height, best["tw"]).otherwise(F.floor(best["th"] * ratio)).cast("int")
+    h = F.when(width > height, F.floor(best["tw"] / ratio)).otherwise(best["th"]).cast("int")
+    margin = lambda a, b: F.floor((a - b) / 2).cast("int")
+    return F.struct(best["tw"].alias("target_w"), best["th"].alias("target_h"), w.alias("w"), h.alias("h"), margin(best["tw"], w).alias("left"), margin(best["th"], h).alias("top"))
+
+
+def overlapped(width: Column, height: Column, patch: int, overlap: float) -> Column:
+    """Corners (x, y) of the whole patches of an image, row by row, centred; each shares ``overlap`` of its side with the next."""
+    stride = int(patch * (1 - overlap))
+
+    def starts(side: Column) -> Column:
+        n = (F.floor((side - patch) / stride) + 1).cast("int")
+        first = F.floor((side - (n - 1) * stride - patch) / 2).cast("int")
+        return F.transform(_upto(F.greatest(n, F.lit(0))), lambda i: first + i * stride)
+
+    return F.flatten(F.transform(starts(height), lambda y: F.transform(starts(width), lambda x: F.struct(x.alias("x"), y.alias("y")))))
+
+
+def range_options(spec: str, patch: int) -> list[tuple[int, int]]:
+    """Sizes in patches from the first to the last pair of "(1x1),...,(6x6)", times the patch."""
+    pairs = [tuple(map(int, p.split("x"))) for p in spec.replace("(", " ").replace(")", " ").replace(",", " ").split() if "x" in p]
+    (a, b), (c, d) = pairs[0], pairs[-1]
+    return [(i * patch, j * patch) for i in range(a, c + 1) for j in range(b, d + 1)]
+
+
+#: The pixel limits of a frame and of a video, in squares of 28.
 def smart_size(height: Column, width: Column, frames: Column, factor: int = 28, least: int = 128 * 28 * 28, most: int = 768 * 28 * 28, total: int = 24576 * 28 * 28) -> Column:
     """Sides as multiples of ``factor`` near the given ones, whose product keeps to a frame's share of all pixels."""
     cap = F.greatest(F.least(F.lit(float(most)), F.lit(2.0 * total) / frames), F.lit(float(int(least * 1.05))))

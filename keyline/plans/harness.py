@@ -104,6 +104,10 @@ QUERIES = {
     "f19_image_ids": _ids,
     "f21_grid_shape": lambda k, d: _struct(_videos(k, d), V.grid_shape(F.col("w").cast("long"), F.col("h").cast("long"), RESOLUTIONS, 336)),
     "f21_fitted": lambda k, d: _struct(_videos(k, d), V.fitted(F.col("w"), F.col("h"), 672, 336)),
+    "f21_cropped": lambda k, d: _struct(_videos(k, d), V.cropped(F.col("w"), F.col("h"), 336)),
+    "f21_padded": lambda k, d: _struct(_videos(k, d), V.padded(F.col("w"), F.col("h"), [336, 672, 1008])),
+    "f21_overlapped": lambda k, d: _videos(k, d).select("video_id", F.explode(V.overlapped(F.col("w"), F.col("h"), 224, 0.5)).alias("t")).select("video_id", "t.x", "t.y"),
+    "f21_range_shape": lambda k, d: _struct(_videos(k, d), V.grid_shape(F.col("w").cast("long"), F.col("h").cast("long"), V.range_options("(1x1),...,(3x3)", 336), 336)),
     "f21_squared": lambda k, d: _struct(_videos(k, d), V.squared(F.col("w"), F.col("h"))),
     "f21_tiles": lambda k, d: _videos(k, d).select("video_id", F.explode(V.tiles(F.col("w"), F.col("h"), 336)).alias("t")).select("video_id", "t.x", "t.y"),
     "f22_decoded": lambda k, d: _videos(k, d).select("video_id", F.octet_length(F.unbase64(F.base64(F.encode("p_name", "UTF-8")))).alias("n_bytes")),
@@ -145,6 +149,10 @@ ORACLES = {
     "f19_image_ids": f"SELECT p_partkey AS video_id, {_text('[1] || ' + ' || [-200] || '.join(_LENGTHS.format(c=c) for c in ('p_name', 'p_brand', 'p_type')))} AS ids FROM part",
     "f21_grid_shape": f"WITH {_VID}, r AS ({_RESOLVED}) SELECT video_id, CAST(ow // 336 AS INT) AS across, CAST(oh // 336 AS INT) AS down FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY e DESC, waste DESC, k) AS n FROM r) WHERE n = 1",
     "f21_fitted": f"WITH {_VID}, f AS (SELECT video_id, CASE WHEN 672 * h < 336 * w THEN 672 ELSE CAST(least(ceil(w * 336.0::DOUBLE / h), 672) AS INT) END AS nw, CASE WHEN 672 * h < 336 * w THEN CAST(least(ceil(h * 672.0::DOUBLE / w), 336) AS INT) ELSE 336 END AS nh FROM vid) SELECT video_id, nw AS w, nh AS h, CAST((672 - nw) // 2 AS INT) AS \"left\", CAST((336 - nh) // 2 AS INT) AS top FROM f",
+    "f21_cropped": f"WITH {_VID}, c AS (SELECT video_id, CASE WHEN w > h THEN CAST(floor(336 * (w::DOUBLE / h)) AS INT) ELSE 336 END AS w, CASE WHEN w > h THEN 336 ELSE CAST(floor(336 / (w::DOUBLE / h)) AS INT) END AS h FROM vid) SELECT video_id, w, h, (w - 336) / 2.0::DOUBLE AS \"left\", (h - 336) / 2.0::DOUBLE AS top FROM c",
+    "f21_padded": f"WITH {_VID}, o AS (SELECT a * 3 + b AS k, gw[a + 1] AS tw, gw[b + 1] AS th, gw[a + 1] / gw[b + 1]::DOUBLE AS r FROM (SELECT [336, 672, 1008] AS gw), range(0, 3) t(a), range(0, 3) u(b)), n AS (SELECT v.*, o.*, first_value(r) OVER (PARTITION BY video_id ORDER BY abs(w::DOUBLE / h - r), k) AS near FROM vid v, o), b AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY abs(greatest(w, h) / greatest(tw, th)::DOUBLE - 1), k) AS rn FROM n WHERE abs(r - near) < 1e-3), s AS (SELECT video_id, tw, th, CASE WHEN w > h THEN tw ELSE CAST(floor(th * (w::DOUBLE / h)) AS INT) END AS nw, CASE WHEN w > h THEN CAST(floor(tw / (w::DOUBLE / h)) AS INT) ELSE th END AS nh FROM b WHERE rn = 1) SELECT video_id, CAST(tw AS INT) AS target_w, CAST(th AS INT) AS target_h, CAST(nw AS INT) AS w, CAST(nh AS INT) AS h, CAST(floor((tw - nw) / 2.0) AS INT) AS \"left\", CAST(floor((th - nh) / 2.0) AS INT) AS top FROM s",
+    "f21_overlapped": f"WITH {_VID}, n AS (SELECT video_id, w, h, CAST(floor((w - 224) / 112.0) AS INT) + 1 AS nx, CAST(floor((h - 224) / 112.0) AS INT) + 1 AS ny FROM vid) SELECT video_id, CAST(floor((w - (nx - 1) * 112 - 224) / 2.0) + i * 112 AS INT) AS x, CAST(floor((h - (ny - 1) * 112 - 224) / 2.0) + j * 112 AS INT) AS y FROM n, range(0, 20) t(i), range(0, 20) u(j) WHERE i < nx AND j < ny",
+    "f21_range_shape": f"WITH {_VID}, o AS (SELECT a * 3 + b AS k, (a + 1) * 336 AS rw, (b + 1) * 336 AS rh FROM range(0, 3) t(a), range(0, 3) u(b)), d AS (SELECT video_id, k, rw, rh, w, h, CASE WHEN rw * h <= rh * w THEN rw ELSE floor(w * rh::DOUBLE / h) END AS dw, CASE WHEN rw * h <= rh * w THEN floor(h * rw::DOUBLE / w) ELSE rh END AS dh FROM vid, o), e AS (SELECT *, least(dw * dh, w * h) AS e FROM d) SELECT video_id, CAST(rw // 336 AS INT) AS across, CAST(rh // 336 AS INT) AS down FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY e DESC, rw * rh - e, k) AS n FROM e) WHERE n = 1",
     "f21_squared": f"WITH {_VID} SELECT video_id, greatest(w, h) AS side, CAST((greatest(w, h) - w) // 2 AS INT) AS \"left\", CAST((greatest(w, h) - h) // 2 AS INT) AS top FROM vid",
     "f21_tiles": f"WITH {_VID} SELECT video_id, CAST(x AS INT) AS x, CAST(y AS INT) AS y FROM (SELECT video_id, w, unnest(range(0, h, 336)) AS y FROM vid) v, LATERAL (SELECT unnest(range(0, v.w, 336)) AS x)",
     "f22_decoded": "SELECT p_partkey AS video_id, CAST(strlen(p_name) AS INT) AS n_bytes FROM part",
