@@ -308,4 +308,5 @@ def fingerprints(docs: DataFrame, cells: int = CELLS) -> DataFrame:
 
 
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of each document and its edited text, and their likeness."""
     return fingerprints(documents(spark, sf_dir))

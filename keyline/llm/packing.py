@@ -268,4 +268,5 @@ def pack(docs: DataFrame, vocabulary: str | None = None, size: int = SIZE) -> Da
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of 2048 ids; cases as in the module."""
     return pack(documents(spark, sf_dir))

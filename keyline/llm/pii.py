@@ -3,9 +3,10 @@
 Each kind of value is found by its shape, checked, and permuted under a key among the values of the same format: card
 numbers keep their first digit, grouping and a right check digit; dates stay dates in their notation; addresses stay
 addresses. The same value under the same key gives the same pseudonym in every document, and the permutation can be
-undone with the key. Of a match that fails its check the shorter
-ones that end between its groups are tried, then other kinds at its place, and the search goes on behind its first group; so
-what is left alone holds no value that any shape and check would take.
+undone with the key. Values are linked within one format: a date written year first and the same date written day first, or
+one telephone number with and without its country's code, are two values with pseudonyms of their own. Of a match that
+fails its check the shorter ones that end between its groups are tried, then other kinds at its place, and the search goes
+on behind its first group; so what is left alone holds no value that any shape and check would take.
 
 Defined cases: a null text stays null; an empty one stays empty; a null doc_id is carried; rows are independent, so
 repeated rows give repeated results; other columns pass through.
@@ -311,5 +312,6 @@ def pseudonyms(docs: DataFrame, text: str = "text", key: bytes = KEY) -> DataFra
 
 
 def op6_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document with pseudonyms under the default key, and how many values of each kind it had."""
     out = pseudonyms(documents(spark, sf_dir).select("doc_id", "text"))
     return out.select("doc_id", "text", *(F.col(f"_kl_found.{k}").alias(f"n_{k}") for k in KINDS))

@@ -185,6 +185,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdicts of the base rules and the learned list."""
     docs = documents(spark, sf_dir).select("doc_id", "text")
     out = quality_rules(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return out.select("doc_id", *(stat(s).alias(s) for s in STATS), F.col("_kl_failed").alias("base_failed"), F.col("_kl_kept").alias("kept"))

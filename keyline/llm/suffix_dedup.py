@@ -404,4 +404,5 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stays of each document without strings of 100 bytes that start earlier too."""
     return repeated_strings(documents(spark, sf_dir), content=False)

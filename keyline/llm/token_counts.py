@@ -129,4 +129,5 @@ def token_counts(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words, word pieces and unknown words of each document."""
     return token_counts(documents(spark, sf_dir))
