@@ -48,8 +48,8 @@ def _lls(k, d) -> DataFrame:
 
 def _cosines(k, d) -> DataFrame:
     rows = table(k, d, "embeddings")
-    one = rows.where("vec_id = 0").select(F.col("embedding").alias("q")).limit(1)  # one row
-    return rows.crossJoin(F.broadcast(one)).select("vec_id", F.round(C.cosine(F.col("embedding"), F.col("q")), 6).alias("cosine"))
+    one = rows.where("vec_id = 0").select("embedding").limit(1).scalar()
+    return rows.withColumn("q", one).select("vec_id", F.round(C.cosine(F.col("embedding"), F.col("q")), 6).alias("cosine"))
 
 
 def _prompts(k, d) -> DataFrame:
