@@ -95,6 +95,18 @@ def halved_trimmed(seq: DataFrame, m: int, **how) -> DataFrame:
     return longer.unionByName(evenly(short, m).select("video_id", (F.col("rank") + 1).alias("rank"), "pos"))
 
 
+def allocated(seq: DataFrame, m: int, **how) -> DataFrame:
+    """``halved`` with floor 1, cut to its first m frames in time; where it gives fewer, m evenly spaced ones instead. Videos of
+    fewer than m frames are taken whole."""
+    order = Window.partitionBy("video_id").orderBy("pos")
+    got = halved(seq, m, floor=1, **how).withColumns({"k": F.count(F.lit(1)).over(Window.partitionBy("video_id")), "rank": (F.row_number().over(order) - 1).cast("int")})
+    sized = seq.withColumn("n", _n())
+    got = got.join(sized.select("video_id", "pos", "n"), ["video_id", "pos"])
+    few = (F.col("k") < m) & (F.col("n") >= m)
+    lacking = seq.join(got.where(few).select("video_id").distinct(), "video_id", "left_semi")
+    return got.where(~few & (F.col("rank") < m)).select("video_id", "rank", "pos").unionByName(evenly(lacking, m).select("video_id", "rank", "pos"))
+
+
 # ---- diffusion and suppression ------------------------------------------------------------------
 
 

@@ -89,6 +89,7 @@ QUERIES = {
     "s4_stepped_or_even": lambda k, d: _joined(_videos(k, d), V.stepped_or_even(F.col("n_frames"), F.col("fps"), 16)),
     "s5_loaded": lambda k, d: _joined(_selected(k, d), C.loaded(F.col("frame_idx"), F.col("n"), 6)),
     "s5_loaded_short": lambda k, d: _joined(_selected(k, d), C.loaded(F.col("frame_idx"), F.col("n"), 8)),
+    "s6_loaded_at_least": lambda k, d: _joined(_selected(k, d), C.loaded(F.col("frame_idx"), F.col("n"), 7)),
     "s8_cached": lambda k, d: seq(k, d).select("video_id", "pos", V.cached_place(F.col("frame_id"), F.lit(29.97)).alias("place")),
     "s10_fixed_stride": lambda k, d: _joined(_videos(k, d).where("duration >= 1"), C.fixed_stride(F.col("n_frames"), F.col("duration"))),
     "j5_s15_first_files": _first_files,
@@ -134,6 +135,7 @@ ORACLES = {
     "s4_stepped_or_even": f"WITH {_VID}, st AS (SELECT *, CAST(greatest(1, round_even(fps, 0)) AS BIGINT) AS step FROM vid) SELECT video_id, {_text('CASE WHEN ceil(n_frames / step::DOUBLE) > 16 THEN list_transform(range(0, 16), lambda i: ' + _EVEN.format(n='n_frames', last=15) + ') ELSE range(0, n_frames, step) END')} AS frames FROM st",
     "s5_loaded": _LOADED.format(m=6, last=5),
     "s5_loaded_short": _LOADED.format(m=8, last=7),
+    "s6_loaded_at_least": _LOADED.format(m=7, last=6),
     "s8_cached": f"WITH {SEQ} SELECT video_id, pos, CAST(floor(frame_id / 30.0::DOUBLE) AS INT) AS place FROM fr",
     "s10_fixed_stride": f"WITH {_VID}, st AS (SELECT *, least(16, CAST(trunc(duration) AS INT)) AS m FROM vid WHERE duration >= 1) SELECT video_id, {_text('list_transform(range(0, m), lambda i: (n_frames // m) * i)')} AS frames FROM st",
     "j5_s15_first_files": "SELECT 'v' || p_partkey AS video, CASE WHEN p_partkey % 7 < 3 THEN '/data/v' || p_partkey || '.mp4' WHEN p_partkey % 5 < 2 THEN '/data/v' || p_partkey || '.MP4' WHEN p_partkey % 3 = 0 THEN '/data/v' || p_partkey || '.mkv' END AS path FROM part",

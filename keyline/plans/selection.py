@@ -129,6 +129,7 @@ QUERIES = {
     "a1_leaves": lambda k, d: S.leaves(seq(k, d), 16, t1=0.3).select("video_id", "pos", "depth", "start", "size"),
     "a2_halved_strict": lambda k, d: S.halved(seq(k, d), 16, t1=0.3),
     "a3_halved_floor": lambda k, d: S.halved(seq(k, d), 8, floor=1, t1=0.3),
+    "a4_allocated": lambda k, d: S.allocated(seq(k, d), 10, t1=0.3),
     "a5_summary": _summary,
     "d1_diffused_uniform": _diffused("uniform"),
     "d2_diffused_score": _diffused("score_diff"),
@@ -184,6 +185,7 @@ ORACLES = {
     "a1_leaves": _tree(16, 0.3) + " SELECT video_id, pos, depth, start, size FROM leaf",
     "a2_halved_strict": _halved(16, 0.3, 0),
     "a3_halved_floor": _halved(8, 0.3, 1),
+    "a4_allocated": _tree(10, 0.3) + ", h AS (SELECT video_id, pos, n, row_number() OVER (PARTITION BY video_id ORDER BY pos) AS rn, count(*) OVER (PARTITION BY video_id) AS k FROM leaf WHERE n < 10 OR rank <= greatest(1, CAST(floor(10 / pow(2.0, depth)) AS INT))), c AS (SELECT DISTINCT video_id, n FROM h WHERE k < 10 AND n >= 10) SELECT video_id, CAST(rn - 1 AS INT) AS rank, pos FROM h WHERE rn <= 10 AND (k >= 10 OR n < 10) UNION ALL SELECT video_id, CAST(i AS INT), CAST(CASE WHEN i = 9 THEN n - 1 ELSE floor(i * (CAST(n - 1 AS DOUBLE) / 9.0::DOUBLE)) END AS INT) FROM c, range(0, 10) t(i)",
     "a5_summary": _tree(32, 0.2) + f", o AS (SELECT video_id, count(*) FILTER (n < 32 OR rank <= greatest(1, CAST(floor(32 / pow(2.0, depth)) AS INT))) AS n_out, max(n) AS n_in FROM leaf GROUP BY video_id) SELECT {_STATS} FROM o",
     **{f"d{i}_diffused_{n}": _diff(e) + " SELECT video_id, CAST(unnest(range(0, n)) AS INT) AS pos, round(unnest(d), 9) AS d FROM dd" for i, n, e in ((1, "uniform", "uniform"), (2, "score", "score_diff"), (3, "temporal", "temporal"))},
     "d6_hard_suppressed": _diff("score_diff") + _greedy("dd", "d", 16, "<= 3") + _picked(16),
