@@ -523,6 +523,19 @@ def test_passages_whose_halves_stand_elsewhere_earlier(spark):
     assert {(r["doc_id"], r["source_id"]) for r in got} == {(300 + i, 200 + i) for i in range(n)}
 
 
+@pytest.mark.parametrize(("copies", "edits"), [(1, 0), (1, 5), (4, 0)])
+def test_passages_whose_pieces_stand_elsewhere_before_and_after(spark, copies, edits):
+    """All seeds of two passages stand first and last in pieces too short to be passages; few of each, and more than are all joined."""
+    rows, n, rnd = [], 8, random.Random(7)
+    for i in range(n):
+        p = sown(i, 60)
+        pieces = [p[:45], p[8:53], p[15:]] * copies
+        parts = [*pieces, p, *pieces, edited(rnd, p, edits)]
+        rows += [(100 * j + i, " ".join(sown(9000 + 100 * i + j, 40) + part + sown(20000 + 100 * i + j, 40))) for j, part in enumerate(parts)]
+    got = chaining.shared_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert {(r["doc_id"], r["source_id"]) for r in got} == {(100 * (6 * copies + 1) + i, 300 * copies + i) for i in range(n)}
+
+
 def test_chance_words_around_a_passage(spark):
     """An exact copy of 52 words, with pairs of equal words a few words apart in the text around it."""
     rows = []
