@@ -536,6 +536,14 @@ def test_passages_whose_pieces_stand_elsewhere_before_and_after(spark, copies, e
     assert {(r["doc_id"], r["source_id"]) for r in got} == {(100 * (6 * copies + 1) + i, 300 * copies + i) for i in range(n)}
 
 
+def test_a_repeated_line_gives_one_passage(spark):
+    """Passages of one pair that lie in another one are not told again."""
+    line = sown(77, 30)
+    rows = [(0, " ".join(line * 14)), (1, " ".join(sown(78, 20) + line * 14 + sown(79, 20)))]
+    got = chaining.shared_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [(r["doc_id"], r["start_word"], r["end_word"], r["source_start"], r["source_end"]) for r in got] == [(1, 20, 440, 0, 420)]
+
+
 def test_chance_words_around_a_passage(spark):
     """An exact copy of 52 words, with pairs of equal words a few words apart in the text around it."""
     rows = []
