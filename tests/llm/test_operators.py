@@ -544,6 +544,32 @@ def test_a_repeated_line_gives_one_passage(spark):
     assert [(r["doc_id"], r["start_word"], r["end_word"], r["source_start"], r["source_end"]) for r in got] == [(1, 20, 440, 0, 420)]
 
 
+def test_words_go_to_the_aligner_in_turns(spark, monkeypatch):
+    """What is sent to the aligner at once is little more than half of all, and no passage is lost; null ids have a turn too."""
+    sent, dealt = [], chaining.dealt
+
+    def counted(df, key, fn, schema):
+        if fn.__qualname__.startswith("_aligned"):
+            sent.append(df.selectExpr("sum(length(blob))").first()[0] or 0)
+        return dealt(df, key, fn, schema)
+
+    monkeypatch.setattr(chaining, "dealt", counted)
+    n, rows = 60, [(None, " ".join(sown(3, 60) + sown(7000, 40))), (None, " ".join(sown(3, 60) + sown(7001, 40)))]
+    for i in range(n):
+        rows += [(100 * j + i, " ".join(sown(9000 + 100 * j + i, 40) + sown(i, 60) + sown(20000 + 100 * j + i, 40))) for j in range(2)]
+    got = chaining.shared_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    met = {(r["doc_id"], r["source_id"]) for r in got}
+    assert {(100 + i, i) for i in range(n)} | {(None, None), (3, None)} <= met
+    assert sum(sent) > 0 and max(sent) <= 0.65 * sum(sent)
+
+
+def test_stretches_of_one_text_are_joined():
+    """Stretches that two turns ask for overlap, touch, lie in each other or apart."""
+    words = np.arange(100, dtype=np.uint32)
+    got = chaining.joined([(a, words[a:b]) for a, b in ((50, 80), (0, 60), (10, 20), (80, 85), (90, 95), (90, 92))])
+    assert [(a, w.tolist()) for a, w in got] == [(0, list(range(85))), (90, list(range(90, 95)))]
+
+
 def test_chance_words_around_a_passage(spark):
     """An exact copy of 52 words, with pairs of equal words a few words apart in the text around it."""
     rows = []
