@@ -536,6 +536,21 @@ def test_passages_whose_pieces_stand_elsewhere_before_and_after(spark, copies, e
     assert {(r["doc_id"], r["source_id"]) for r in got} == {(100 * (6 * copies + 1) + i, 300 * copies + i) for i in range(n)}
 
 
+@pytest.mark.parametrize(("copies", "edits"), [(4, 5), (4, 9), (12, 6)])
+def test_fuzzy_passages_of_which_all_seeds_have_many_places(spark, copies, edits):
+    """No seed of a fuzzy passage has few places, and neither its first nor its latest place is in the document that has the passage."""
+    rows, n, rnd, base, due = [], 8, random.Random(copies * edits), 100 * (6 * copies + 1), set()
+    for i in range(n):
+        p = sown(i, 64)
+        copy = edited(rnd, p[:2] + p[2:-2], edits)
+        copy[:2], copy[-2:] = p[:2], p[-2:]
+        pieces = [p[:45], p[10:55], p[19:]] * copies
+        rows += [(100 * j + i, " ".join(sown(9000 + 100 * i + j, 40) + part + sown(20000 + 100 * i + j, 40))) for j, part in enumerate([*pieces, p, *pieces, copy])]
+        due.add((base + i, 300 * copies + i))
+    got = chaining.shared_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert due <= {(r["doc_id"], r["source_id"]) for r in got}
+
+
 def test_a_repeated_line_gives_one_passage(spark):
     """Passages of one pair that lie in another one are not told again."""
     line = sown(77, 30)
