@@ -578,6 +578,50 @@ def test_words_go_to_the_aligner_in_turns(spark, monkeypatch):
     assert sum(sent) > 0 and max(sent) <= 0.65 * sum(sent)
 
 
+def test_one_line_in_very_many_documents(spark, monkeypatch):
+    """Not every pair of documents with one line is sent to be chained, and a passage that shares no other seed is found."""
+    sent, dealt, line = [], chaining.dealt, sown(1, 14)
+
+    def counted(df, key, fn, schema):
+        out = dealt(df, key, fn, schema)
+        if fn.__qualname__.startswith("_met"):
+            sent.append(out.selectExpr("sum(length(blob))").first()[0] or 0)
+        return out
+
+    monkeypatch.setattr(chaining, "dealt", counted)
+    n = 1104
+    rest = {i: sown(10000 + i, 40) for i in range(n)}
+    rest[n - 1] = [w if at % 4 else f"other{at}" for at, w in enumerate(rest[7])]
+    rows = [(i, " ".join(line + rest[i] + sown(5000 + i % 50, 8))) for i in range(n)]
+    got = chaining.shared_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert {(r["doc_id"], r["source_id"]) for r in got} == {(n - 1, 7)}
+    assert len(sent) == 1 and sent[0] < 4 * n * n  # of one seed of the line all would be twice as much
+
+
+def test_word_pairs_before_matches():
+    """Of places with one seed those that share 19 pairs of words are met, and hardly any other."""
+    rng, line = np.random.default_rng(3), np.arange(60000, 60014)
+    base = rng.integers(0, 2000, 60)
+
+    def around():
+        words = rng.zipf(1.3, int(rng.integers(0, 100))) % 3000
+        if rng.random() < 0.5:
+            words = np.append(words, np.where(rng.random(60) < 0.2, rng.integers(0, 2000), base))
+        return np.concatenate([line, words, np.repeat(7, int(rng.integers(0, 30)))]).astype(np.uint16)[:198]
+
+    def pairs(words):
+        return Counter(zip(words[:-1].tolist(), words[1:].tolist(), strict=True))
+
+    own, source = [around() for _ in range(30)], [around() for _ in range(40)]
+    own_row, source_row = np.sort(rng.integers(0, 50, 30)), np.sort(rng.integers(0, 50, 40))
+    sides = [(np.array([len(w) for w in s]), np.concatenate(s)) for s in (own, source)]
+    met = [(i, j) for a, b in chaining._alike(*sides, own_row, source_row, 19) for i, j in zip(a.tolist(), b.tolist(), strict=True)]
+    earlier = [(i, j) for i in range(30) for j in range(40) if source_row[j] < own_row[i]]
+    must = {(i, j) for i, j in earlier if (pairs(own[i]) & pairs(source[j])).total() >= 19}
+    assert len(met) == len(set(met)) and must <= set(met) <= set(earlier)
+    assert 0 < len(must) and len(met) - len(must) <= (len(earlier) - len(must)) / 4
+
+
 def test_stretches_of_one_text_are_joined():
     """Stretches that two turns ask for overlap, touch, lie in each other or apart."""
     words = np.arange(100, dtype=np.uint32)
