@@ -598,6 +598,66 @@ def test_one_line_in_very_many_documents(spark, monkeypatch):
     assert len(sent) == 1 and sent[0] < 4 * n * n  # of one seed of the line all would be twice as much
 
 
+def test_a_line_in_many_documents_sends_no_other_places(spark, monkeypatch):
+    """Places of a seed with hundreds of places are matched only where the words around them may be a passage, and that one is found."""
+    sent, dealt, line, n = [], chaining.dealt, sown(1, 14), 300
+
+    def counted(df, key, fn, schema):
+        out = dealt(df, key, fn, schema)
+        if fn.__qualname__.startswith("_met"):
+            sent.append(out.selectExpr("sum(length(blob))").first()[0] or 0)
+        return out
+
+    monkeypatch.setattr(chaining, "dealt", counted)
+    rest = {i: sown(10000 + i, 40) for i in range(n)}
+    rest[n - 1] = [w if at % 4 else f"other{at}" for at, w in enumerate(rest[7])]
+    rows = [(i, " ".join(line + rest[i] + sown(5000 + i % 25, 6))) for i in range(n)]
+    got = chaining.shared_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert {(r["doc_id"], r["source_id"]) for r in got} == {(n - 1, 7)}
+    assert len(sent) == 1 and 0 < sent[0] < n * n / 4  # all would be many times as much
+
+
+def test_words_of_chance_matches_are_not_sent_to_the_aligner(spark, monkeypatch):
+    """Documents that share a few words alone are not sent with all 32 bits of each word; those with a passage are."""
+    sent, dealt, n = [], chaining.dealt, 40
+
+    def counted(df, key, fn, schema):
+        if fn.__qualname__.startswith("_aligned"):
+            sent.append(df.where("kind = 0").selectExpr("sum(length(blob))").first()[0] or 0)
+        return dealt(df, key, fn, schema)
+
+    monkeypatch.setattr(chaining, "dealt", counted)
+    rows = [(100 * j + i, " ".join(sown(9000 + 100 * j + i, 100) + sown(i, 12 if i else 60) + sown(20000 + 100 * j + i, 100))) for i in range(n) for j in range(2)]
+    got = chaining.shared_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert {(r["doc_id"], r["source_id"]) for r in got} == {(100, 0)}
+    assert 0 < sum(sent) < 10 * 4 * 260
+
+
+@pytest.mark.parametrize("least", [1, 8, 19])
+def test_word_pairs_around_places(least):
+    """No match whose places have so many pairs of words in common is left out, and no other is kept, by maps or without."""
+    rng = np.random.default_rng(least)
+    base = rng.integers(0, 256, 60)
+    around = [np.concatenate([rng.integers(0, 256, int(rng.integers(2, 120))), base[: int(rng.integers(0, 60))], np.repeat(9, int(rng.integers(0, 18)))]).astype(np.uint8) for _ in range(90)]
+    size = np.array([len(w) for w in around])
+    begin, near = np.cumsum(size) - size, np.concatenate(around)
+    x, y = (c.reshape(-1) for c in np.meshgrid(np.arange(45), np.arange(45, 90)))
+    pairs = [list(zip(w[:-1].tolist(), w[1:].tolist(), strict=True)) for w in around]
+    due = [n for n, (i, j) in enumerate(zip(x.tolist(), y.tolist(), strict=True)) if sum(p in set(pairs[j]) for p in pairs[i]) >= least]
+    assert 0 < len(due) < len(x)
+    for mapped in (True, False):
+        assert chaining._sharing(size, begin, near, x, y, least, mapped).tolist() == due
+
+
+def test_runs_of_words_by_doubling():
+    hashes = np.random.default_rng(1).integers(0, 1 << 63, 90).astype(np.uint64)
+    for k in (1, 2, 3, 4, 8, 36, 50, 90, 91):
+        plain = np.full(max(0, len(hashes) - k + 1), np.uint64(k))
+        for j in range(k):
+            plain = plain * np.uint64(0xD6E8FEB86659FD93) + hashes[j : j + len(plain)]
+        assert np.array_equal(common.windows(hashes, k), common.mix(plain))
+
+
 def test_word_pairs_before_matches():
     """Of places with one seed those that share 19 pairs of words are met, and hardly any other."""
     rng, line = np.random.default_rng(3), np.arange(60000, 60014)
